@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliary.llm.common import load
 from foliary.llm.simhash_covering import simhash_groups
+from foliary.llm.transducer_bpe import encode_documents
+
+#: A tokenizer file; the driver reads it.
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,7 +25,12 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(load(spark, sf_dir, "documents"), BYTE_BPE)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op10_transducer_bpe": op10_transducer_bpe,
 }
 ORACLE_SQL: dict[str, str] = {}
