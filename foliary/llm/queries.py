@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliary.llm.common import load
+from foliary.llm import langid_nb, pu_quality
+from foliary.llm.common import held_out, load
 from foliary.llm.simhash_covering import simhash_groups
 from foliary.llm.transducer_bpe import encode_documents
 
@@ -16,6 +17,12 @@ from foliary.llm.transducer_bpe import encode_documents
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    found = langid_nb.identify(docs, langid_nb.fit_on_training_rows(docs))
+    return found.select(F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "lang_pred", "score")
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_groups(load(spark, sf_dir, "documents"), width=4, radius=4)
     return found.select(
@@ -25,12 +32,22 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = pu_quality.score_documents(docs, pu_quality.fit(docs, load(spark, sf_dir, "labels")))
+    return scored.select(
+        "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
+
+
 def op10_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(load(spark, sf_dir, "documents"), BYTE_BPE)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_language_id": op3_language_id,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op9_pu_quality": op9_pu_quality,
     "op10_transducer_bpe": op10_transducer_bpe,
 }
 ORACLE_SQL: dict[str, str] = {}
