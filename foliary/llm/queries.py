@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliary.llm import langid_nb, pu_quality
+from foliary.llm import langid_nb, pii_weak, pu_quality
 from foliary.llm.common import held_out, load
 from foliary.llm.simhash_covering import simhash_groups
 from foliary.llm.transducer_bpe import encode_documents
@@ -17,6 +17,16 @@ from foliary.llm.transducer_bpe import encode_documents
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii_weak.find_spans(load(spark, sf_dir, "documents"))
+    def count(kind: int):
+        return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{pii_weak.KINDS[kind]}")
+
+    return found.select(
+        F.col("id").alias("doc_id"), *map(count, range(4)), F.sha2(pii_weak.listing("base"), 256).alias("base_sha256"), pii_weak.listing("spans").alias("spans")
+    )
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     found = langid_nb.identify(docs, langid_nb.fit_on_training_rows(docs))
@@ -45,6 +55,7 @@ def op10_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii_weak_supervision": op1_pii_weak_supervision,
     "op3_language_id": op3_language_id,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op9_pu_quality": op9_pu_quality,
