@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliary.llm import langid_nb, pii_weak, pu_quality
+from foliary.llm import langid_nb, pii_weak, pu_quality, template_decontam
 from foliary.llm.common import held_out, load
 from foliary.llm.simhash_covering import simhash_groups
 from foliary.llm.transducer_bpe import encode_documents
@@ -42,6 +42,10 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return template_decontam.contaminated(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
 def op9_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     scored = pu_quality.score_documents(docs, pu_quality.fit(docs, load(spark, sf_dir, "labels")))
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_weak_supervision": op1_pii_weak_supervision,
     "op3_language_id": op3_language_id,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op7_template_decontamination": op7_template_decontamination,
     "op9_pu_quality": op9_pu_quality,
     "op10_transducer_bpe": op10_transducer_bpe,
 }
