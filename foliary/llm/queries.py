@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliary.llm import langid_nb, pii_weak, pu_quality, template_decontam
+from foliary.llm import int8_neardup, langid_nb, pii_weak, pu_quality, template_decontam
 from foliary.llm.common import held_out, load
 from foliary.llm.simhash_covering import simhash_groups
 from foliary.llm.transducer_bpe import encode_documents
@@ -27,6 +27,13 @@ def op1_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_int8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = int8_neardup.near_duplicates(load(spark, sf_dir, "embeddings"), 0.98)
+    return found.select(
+        F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept")
+    )
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     found = langid_nb.identify(docs, langid_nb.fit_on_training_rows(docs))
@@ -60,10 +67,27 @@ def op10_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_weak_supervision": op1_pii_weak_supervision,
+    "op2_int8_embedding_near_dedup": op2_int8_embedding_near_dedup,
     "op3_language_id": op3_language_id,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op7_template_decontamination": op7_template_decontamination,
     "op9_pu_quality": op9_pu_quality,
     "op10_transducer_bpe": op10_transducer_bpe,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_int8_embedding_near_dedup": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e, sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))) AS n
+            FROM embeddings WHERE label IS NOT NULL
+        ), links AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+            WHERE a.n > 0 AND b.n > 0 AND list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.98
+        ), reach AS (
+            SELECT vec_id AS a, vec_id AS b FROM embeddings
+            UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+        ), least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+        degree AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
+        SELECT e.vec_id, coalesce(d.n_links, 0) AS n_links, l.component_id, e.vec_id = l.component_id AS kept
+        FROM embeddings e JOIN least l ON l.a = e.vec_id LEFT JOIN degree d ON d.a = e.vec_id
+    """,
+}
