@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliary.llm import int8_neardup, langid_nb, pii_weak, pu_quality, template_decontam
+from foliary.llm import int8_neardup, label_shards, langid_nb, pii_weak, pu_quality, template_decontam
 from foliary.llm.common import held_out, load
 from foliary.llm.simhash_covering import simhash_groups
 from foliary.llm.transducer_bpe import encode_documents
@@ -49,6 +49,14 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_label_propagation_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = label_shards.shard_documents(load(spark, sf_dir, "documents"), 8)
+    return found.select(
+        F.col("id").alias("doc_id"), "size", F.col("crc").alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op7_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return template_decontam.contaminated(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
@@ -70,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_int8_embedding_near_dedup": op2_int8_embedding_near_dedup,
     "op3_language_id": op3_language_id,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op6_label_propagation_shards": op6_label_propagation_shards,
     "op7_template_decontamination": op7_template_decontamination,
     "op9_pu_quality": op9_pu_quality,
     "op10_transducer_bpe": op10_transducer_bpe,
