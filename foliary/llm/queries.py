@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import base64
+import re
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliary.llm import int8_neardup, label_shards, langid_nb, pii_weak, pu_quality, template_decontam
-from foliary.llm.common import held_out, load
+from foliary.llm import delta_rollup, int8_neardup, label_shards, langid_nb, pii_weak, pu_quality, template_decontam
+from foliary.llm.common import Workspace, held_out, load
 from foliary.llm.simhash_covering import simhash_groups
-from foliary.llm.transducer_bpe import encode_documents
+from foliary.llm.transducer_bpe import Encoder, Vocabulary, encode_documents
 
 #: A tokenizer file; the driver reads it.
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+BYTE_BPE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+LONG_SPACE = re.compile(r"\s{2000}")
 
 
 def op1_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +66,50 @@ def op7_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return template_decontam.contaminated(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
+def op8_token_count_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches, the second and third sent twice: all documents; word counts revised to leave out lone marks; later copies gone."""
+    work = Workspace(spark, "tokens")
+    vocabulary = spark.sparkContext.broadcast(Vocabulary(BYTE_BPE))
+    ranks = spark.sparkContext.broadcast(token_ranks(BYTE_BPE_RANKS))
+
+    def counters():
+        import tiktoken
+
+        fast = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks.value, special_tokens={})
+        careful = Encoder(vocabulary.value, None, special=False)
+
+        def bpe(text: str) -> int:
+            # The library's pattern search gives up on very long white space.
+            if LONG_SPACE.search(text):
+                return next(iter(careful.encode_batch([text])))[0].count(b",") + 1
+            return len(fast.encode_ordinary(text))
+
+        return {
+            "bpe": bpe,
+            "words": lambda text: len(text.split()),
+            "revised": lambda text: sum(any(map(str.isalnum, w)) for w in text.split()),
+        }
+
+    counts = work.write(delta_rollup.measure(load(spark, sf_dir, "documents"), counters, ["bpe", "words", "revised"]), "counts")
+
+    def under(rows: DataFrame, tokenizer: str, column: str) -> DataFrame:
+        return rows.select("doc_id", "source", "lang", F.lit(tokenizer).alias("tokenizer"), F.col(column).alias("n_tokens"))
+
+    bpe, words, revised = ("byte_bpe_50k/1", "bpe"), ("words/1", "words"), ("words/1", "revised")
+    changed, gone = counts.where("words <> revised"), delta_rollup.later_copies(counts)
+    store = delta_rollup.DeltaStore(spark, f"{work.root}/store")
+    store.commit("load", delta_rollup.inserts(under(counts, *bpe).unionByName(under(counts, *words))))
+    for _ in range(2):
+        store.commit("revise", delta_rollup.revisions(under(changed, *words), under(changed, *revised)))
+        store.commit("copies", delta_rollup.deletes(under(gone, *bpe).unionByName(under(gone, *revised))))
+    return store.rollup()
+
+
+def token_ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as f:
+        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+
+
 def op9_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     scored = pu_quality.score_documents(docs, pu_quality.fit(docs, load(spark, sf_dir, "labels")))
@@ -80,6 +129,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_label_propagation_shards": op6_label_propagation_shards,
     "op7_template_decontamination": op7_template_decontamination,
+    "op8_token_count_deltas": op8_token_count_deltas,
     "op9_pu_quality": op9_pu_quality,
     "op10_transducer_bpe": op10_transducer_bpe,
 }

@@ -252,10 +252,11 @@ class Lexicon:
 class Encoder:
     """Encodes texts; remembers the ids of chunks it has met, up to a bound."""
 
-    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None):
+    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None, special: bool = True):
         self.vocabulary, self.lexicon = vocabulary, lexicon
+        self.special = vocabulary.special if special else {}
         self.known: dict[str, tuple[bytes, bytes]] = {}
-        self.split = re.compile("(" + "|".join(map(re.escape, sorted(vocabulary.special, key=len, reverse=True))) + ")") if vocabulary.special else None
+        self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def chunks(self, text: str) -> list[str]:
         """Parts of a text, without special tokens, that can be encoded one by one."""
@@ -290,8 +291,8 @@ class Encoder:
         for text in texts:
             plan: list[list[str] | int] = []
             for part in self.split.split(text or "") if self.split else [text or ""]:
-                if part in self.vocabulary.special:
-                    plan.append(self.vocabulary.special[part])
+                if part in self.special:
+                    plan.append(self.special[part])
                 elif part:
                     plan.append(found := self.chunks(part))
                     fresh.update(found)
