@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliary.llm import delta_rollup, int8_neardup, label_shards, langid_nb, pii_weak, pu_quality, template_decontam
+from foliary.llm import delta_rollup, int8_neardup, label_shards, langid_nb, pii_weak, pu_quality, sparse_suffix, template_decontam
 from foliary.llm.common import Workspace, held_out, load
 from foliary.llm.simhash_covering import simhash_groups
 from foliary.llm.transducer_bpe import Encoder, Vocabulary, encode_documents
@@ -45,6 +45,12 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "lang_pred", "score")
 
 
+def op4_sparse_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sparse_suffix.repeated_passages(load(spark, sf_dir, "documents"), 50)
+    listed = F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"))), ",")
+    return found.select("doc_id", F.size("spans").alias("n_spans"), "n_words", listed.alias("spans"))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_groups(load(spark, sf_dir, "documents"), width=4, radius=4)
     return found.select(
@@ -126,6 +132,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_weak_supervision": op1_pii_weak_supervision,
     "op2_int8_embedding_near_dedup": op2_int8_embedding_near_dedup,
     "op3_language_id": op3_language_id,
+    "op4_sparse_suffix_dedup": op4_sparse_suffix_dedup,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_label_propagation_shards": op6_label_propagation_shards,
     "op7_template_decontamination": op7_template_decontamination,
