@@ -1,15 +1,62 @@
-"""Stages that turn documents into clean token sequences."""
+"""Stages that turn raw documents into clean token sequences.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept: good texts, of near copies the one with
+the smallest id, without those that hold benchmark items, with personal data replaced, as token ids.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from foliary.llm import pii_weak, pu_quality, simhash_covering, template_decontam, transducer_bpe
+from foliary.llm.common import Workspace, load, small_enough
+from foliary.llm.queries import BYTE_BPE
+
+#: The score from which a text is kept.
+GOOD = 0.7
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = pu_quality.fit(docs, load(spark, sf_dir, "labels"))
+    return pu_quality.score_documents(docs, model, score_col="_quality").where(F.col("_quality") >= GOOD).drop("_quality")
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash_covering.drop_near_copies(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    work = Workspace(spark, "decontam")
+    found = template_decontam.contaminated(docs, load(spark, sf_dir, "benchmark"))
+    gone = work.write(found.select(F.col("doc_id").alias("_id")).distinct(), "gone")
+    return docs.join(small_enough(gone, 100_000), docs["doc_id"] == gone["_id"], "left_anti")
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    clean = pii_weak.redact(docs)
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return transducer_bpe.encode_documents(docs, BYTE_BPE, ids=True)
+
 
-STAGES: list = []
+STAGES = [
+    ("quality classifier", quality),
+    ("SimHash near-dedup", near_dedup),
+    ("benchmark decontamination", decontamination),
+    ("PII", personal_data),
+    ("BPE encoding and decoding", encoding),
+]
+#: No stage can be written in SQL; tests/llm/test_pipeline.py compares each with a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages on documents; what each returns is written to the shared folder and read again."""
+    work = Workspace(spark, "pipeline")
+    docs = load(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        docs = work.write(stage(spark, docs, sf_dir), f"stage-{k}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -8,6 +8,7 @@ within the radius is missed, whatever the data.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -110,10 +111,12 @@ def _bucket_stars(radius: int):
 def near_edges(prints: DataFrame, radius: int, work: Workspace, tag: str = "cover") -> DataFrame:
     """Edges (a, b) of fingerprints whose components are those of all pairs within the radius.
 
-    prints: distinct values in column fp. A bucket of two is compared as it is summed up, without its rows being
+    prints: distinct values in column fp, and a column seed if there are fingerprints of several kinds, which are only
+    compared with their own kind. A bucket of two is compared as it is summed up, without its rows being
     brought together; of larger ones the rows are fetched, in tiles if a bucket is very large.
     """
-    cells = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(covering_masks(radius))])
+    kind = [F.col("seed")] if "seed" in prints.columns else []
+    cells = F.array(*[F.xxhash64(F.lit(i), *kind, F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(covering_masks(radius))])
     dealt = prints.select("fp", F.explode(cells).alias("bucket"))
     buckets = (
         dealt.groupBy("bucket")
@@ -159,3 +162,144 @@ def simhash_groups(docs: DataFrame, width: int = 4, radius: int = 4, id_col: str
     work = Workspace(docs.sparkSession, "simhash")
     prints = work.write(fingerprints(docs, width, id_col, text_col), "prints")
     return group_prints(prints, radius, work)
+
+
+#: Seeds of the word fingerprints that near copies are looked for with. Words change less than shingles do: of two texts
+#: whose sets of five-word shingles are alike by 0.8, few words in a hundred differ, so fingerprints weighted by words
+#: are mostly within the radius, and one of three independent ones nearly always is.
+WORD_SEEDS = (11, 12, 13)
+#: Documents of a block when a cluster is checked.
+CHECKED = 256
+
+
+def word_fingerprint(counts: dict[bytes, int], seed: int) -> int:
+    """SimHash of words weighted by their number, signed."""
+    if not counts:
+        return 0
+    h = np.array([xxhash.xxh64_intdigest(w, seed) for w in counts], "<u8")
+    n = np.fromiter(counts.values(), np.float64, len(counts))
+    total = np.zeros(64)
+    for at in range(0, len(h), SLICE):
+        bits = np.unpackbits(h[at : at + SLICE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        total += n[at : at + SLICE] @ bits
+    return int(np.packbits(2 * total > n.sum(), bitorder="little").view("<i8")[0])
+
+
+def alike(sets: list[np.ndarray], share: tuple[int, int]) -> np.ndarray:
+    """For sets of sorted distinct numbers: is intersection / union at least share; empty sets are alike."""
+    size = np.array([len(x) for x in sets])
+    row = np.repeat(np.arange(len(sets)), size)
+    _, column, times = np.unique(np.concatenate([*sets, np.zeros(0, np.uint32)]), return_inverse=True, return_counts=True)
+    common = times[column] > 1
+    row, column = row[common], column[common]
+    _, column = np.unique(column, return_inverse=True)
+    shared = np.zeros((len(sets), len(sets)))
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    width = 4096
+    for at in range(0, int(column.max(initial=-1)) + 1, width):
+        s, e = np.searchsorted(column, [at, at + width])
+        part = np.zeros((len(sets), width), np.float32)
+        part[row[s:e], column[s:e] - at] = 1
+        shared += part @ part.T
+    union = size[:, None] + size[None, :] - shared
+    return share[1] * shared >= share[0] * union
+
+
+def _verified_stars(share: tuple[int, int]):
+    keys = ["cluster", "tile_i", "tile_j"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in complete_groups(batches, keys, rows=CHECKED):
+            ids = table.column("class").to_numpy()
+            starts = group_starts(table, keys)
+            a, b = [], []
+            for s, e in zip(starts, [*starts[1:], len(ids)], strict=True):
+                if e - s > 1:
+                    sets = [np.frombuffer(x.as_py(), np.uint32) for x in table.column("shingles").slice(s, e - s)]
+                    root = label_components(alike(sets, share))
+                    moved = np.flatnonzero(root != np.arange(e - s))
+                    a.append(ids[s:e][moved])
+                    b.append(ids[s:e][root[moved]])
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (a, b)], names=["a", "b"])
+
+    return run
+
+
+def near_copy_groups(
+    docs: DataFrame, width: int = 5, share: tuple[int, int] = (4, 5), radius: int = 4, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """(id, text_a, text_b, component) for each row of docs with an id: groups of texts alike in their word shingles.
+
+    Texts that are equal are one class; classes are linked if their sets of `width`-word shingles (A-Z lower-cased, a
+    shorter text's whole sequence) have at least share[0] / share[1] of their union in common. Candidates are those with
+    a word fingerprint within the radius for one of WORD_SEEDS, which covering tables find without a miss; clusters of
+    candidates are then checked exactly on 32-bit hashes of whole texts' shingles, in tiles. component is the smallest
+    id reachable; text_a and text_b tell equal texts. Null texts are equal, and alike to texts without words.
+    """
+    work = Workspace(docs.sparkSession, "copies")
+    text = F.col(text_col).cast("string")
+    texts = docs.where(F.col(id_col).isNotNull()).select(
+        F.col(id_col).cast("long").alias("id"), F.xxhash64(F.lit(1), text).alias("text_a"),
+        F.xxhash64(F.lit(2), text, F.length(text)).alias("text_b"), text.alias("text"),
+    )
+    names = [f"fp{s}" for s in WORD_SEEDS]
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for x in batch.column(3):
+                counts = Counter(words_of(x.as_py()))
+                found.append([word_fingerprint(counts, s) for s in WORD_SEEDS])
+            columns = [pa.array(c, pa.int64()) for c in zip(*found, strict=True)] if found else [pa.array([], pa.int64())] * len(names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=["id", "text_a", "text_b", *names])
+
+    schema = "id long, text_a long, text_b long, " + ", ".join(f"{n} long" for n in names)
+    prints = work.write(texts.mapInArrow(measure, schema), "prints")
+    classes = prints.groupBy("text_a", "text_b").agg(F.min("id").alias("class"), *[F.min(n).alias(n) for n in names])
+    classes = work.write(classes, "classes")
+    kinds = F.explode(F.array(*[F.struct(F.lit(s).alias("seed"), F.col(n).alias("fp")) for s, n in zip(WORD_SEEDS, names, strict=True)])).alias("k")
+    held = classes.select("class", kinds).select("class", "k.seed", "k.fp")
+    each = work.write(held.groupBy("seed", "fp").agg(F.count(F.lit(1)).alias("n")), "each")
+    near = near_edges(each.select("seed", "fp"), radius, work)
+    # Nodes are fingerprints and class ids; should two of these be equal, a cluster to be checked is larger.
+    met = near.select(F.explode(F.array("a", "b")).alias("fp")).union(each.where("n > 1").select("fp")).distinct()
+    spokes = held.join(met, "fp").select(F.col("class").alias("a"), F.col("fp").alias("b"))
+    found = connected_components(near.union(spokes), work, "clusters").withColumnRenamed("node", "class")
+    clusters = found.join(classes.select("class", "text_a", "text_b"), "class")
+    clusters = work.write(clusters.withColumnRenamed("component", "cluster"), "clusters")
+    sizes = work.write(clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
+    members = clusters.join(sizes, "cluster").withColumnRenamed("class", "id")
+    fetched = texts.join(members, ["id", "text_a", "text_b"]).select("cluster", "n", F.col("id").alias("class"), "text")
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = []
+            for x in batch.column(3):
+                parts = [np.unique((h >> np.uint64(32)).astype(np.uint32)) for h in shingle_hashes(words_of(x.as_py()), width)]
+                sets.append(np.unique(np.concatenate([*parts, np.zeros(0, np.uint32)])).tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, pa.binary())], names=["cluster", "n", "class", "shingles"])
+
+    sets = work.write(fetched.mapInArrow(shingles, "cluster long, n long, class long, shingles binary"), "sets")
+    keys = ["cluster", "tile_i", "tile_j"]
+    tiles = deal_tiles(sets, "cluster", "n", "class", CHECKED).select(*keys, "class", "shingles")
+    links = tiles.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_verified_stars(share), "a long, b long")
+    groups = connected_components(work.write(links, "links"), work, "groups")
+    rooted = classes.select("text_a", "text_b", "class").join(groups, F.col("class") == F.col("node"), "left")
+    rooted = rooted.select("text_a", "text_b", F.coalesce("component", "class").alias("component"))
+    return prints.select("id", "text_a", "text_b").join(rooted, ["text_a", "text_b"])
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs without the documents that have a near copy of a smaller id; rows without an id stay.
+
+    Rows of one id and text are one document and stay or go together.
+    """
+    work = Workspace(docs.sparkSession, "drop")
+    groups = near_copy_groups(docs, id_col=id_col, text_col=text_col, **options)
+    gone = work.write(groups.where("id <> component").select(F.col("id").alias("_id"), "text_a", "text_b").distinct(), "gone")
+    text = F.col(text_col).cast("string")
+    a, b = F.xxhash64(F.lit(1), text), F.xxhash64(F.lit(2), text, F.length(text))
+    on = (F.col(id_col).cast("long") == gone["_id"]) & (a == gone["text_a"]) & (b == gone["text_b"])
+    return docs.join(gone, on, "left_anti")

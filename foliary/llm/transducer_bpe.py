@@ -21,6 +21,7 @@ from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -357,6 +358,12 @@ def build_lexicon(vocabulary: Vocabulary, frequent: list[str]) -> bytes:
     return compile_lexicon(words, vocabulary.merge(words))
 
 
+def id_lists(decimal: list[bytes], sizes: np.ndarray) -> pa.Array:
+    joined = pa.array([b",".join(filter(None, decimal)).decode()])
+    values = pc.split_pattern(joined, ",").values.cast(pa.int32()) if joined[0].as_py() else pa.array([], pa.int32())
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), values)
+
+
 def encode_documents(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256, and with ids=True ids array<int>) of each row.
 
@@ -382,7 +389,7 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_i
                     pa.array([hashlib.sha256(d).hexdigest() for d in decoded]),
                 ]
                 if ids:
-                    columns.append(pa.array([np.array(i.split(b","), np.int32) if i else [] for i, _ in rows], pa.list_(pa.int32())))
+                    columns.append(id_lists([i for i, _ in rows], columns[1].to_numpy()))
                 at += len(group)
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
