@@ -33,7 +33,8 @@ INNER_SPACE = re.compile(r"\s (?=\s|\Z)")
 #: Words in the lexicon; words a task counts at most before it drops the rarest, and those it hands on.
 LEXICON, COUNTED, HANDED = 1 << 16, 1 << 18, 1 << 15
 #: Chunks of text whose ids a worker remembers.
-REMEMBERED = 250_000
+REMEMBERED = 800_000
+MARKS = tuple(".,:;!?")
 #: Longer words are merged by a heap; shorter ones side by side.
 WIDE = 48
 NONE = np.int32(2**31 - 1)
@@ -155,7 +156,7 @@ class Vocabulary:
                 found[ok] = self.rank(a[ok], b[ok])
                 new_rank[n[left >= 0], left[left >= 0]] = found[left >= 0]
             ids[todo], rank[todo] = new_ids, new_rank
-        return [row[: (row >= 0).sum()].tolist() for row in ids]
+        return [row[:n] for row, n in zip(ids.tolist(), (ids >= 0).sum(axis=1).tolist(), strict=True)]
 
 
 def compile_lexicon(words: list[bytes], ids: list[list[int]]) -> bytes:
@@ -250,6 +251,17 @@ class Lexicon:
         return [self.ids[s:e].tolist() if k else None for k, s, e in zip(known.tolist(), first.tolist(), end.tolist(), strict=True)]
 
 
+def words_of_chunk(chunk: str) -> list[str] | tuple[str, ...]:
+    """What the pattern finds in a chunk; letters after a space, and one mark after them, need no search."""
+    body = chunk[1:]
+    if chunk[:1] == " ":
+        if body.isalpha():
+            return (chunk,)
+        if body[-1:] in MARKS and body[:-1].isalpha():
+            return chunk[:-1], body[-1]
+    return PATTERN.findall(chunk)
+
+
 class Encoder:
     """Encodes texts; remembers the ids of chunks it has met, up to a bound."""
 
@@ -257,6 +269,7 @@ class Encoder:
         self.vocabulary, self.lexicon = vocabulary, lexicon
         self.special = vocabulary.special if special else {}
         self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.decimal = {i: str(i).encode() for i in vocabulary.pieces}.__getitem__
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def chunks(self, text: str) -> list[str]:
@@ -273,17 +286,24 @@ class Encoder:
         if len(self.known) + len(todo) > REMEMBERED:
             self.known = {}
             todo = chunks
-        words_of = {c: [w.encode() for w in PATTERN.findall(c)] for c in todo}
-        words = list({w for ws in words_of.values() for w in ws})
-        ids: dict[bytes, list[int]] = {}
-        if self.lexicon:
-            ids = {w: found for w, found in zip(words, self.lexicon.find(words), strict=True) if found is not None}
-        rest = [w for w in words if w not in ids]
-        ids.update(zip(rest, self.vocabulary.merge(rest), strict=True))
-        pieces = self.vocabulary.pieces
-        for chunk, ws in words_of.items():
-            row = [i for w in ws for i in ids[w]]
-            self.known[chunk] = (",".join(map(str, row)).encode(), b"".join([pieces[i] for i in row]))
+        known, words_of = self.known, {}
+        fresh: set[str] = set()
+        for chunk in todo:
+            words = words_of[chunk] = words_of_chunk(chunk)
+            fresh.update(words)
+        words = [w for w in fresh if w not in known]
+        coded = [w.encode() for w in words]
+        ids = self.lexicon.find(coded) if self.lexicon else [None] * len(words)
+        rest = [k for k, row in enumerate(ids) if row is None]
+        for k, row in zip(rest, self.vocabulary.merge([coded[k] for k in rest]), strict=True):
+            ids[k] = row
+        decimal, piece = self.decimal, self.vocabulary.pieces.__getitem__
+        for word, row in zip(words, ids, strict=True):
+            known[word] = (b",".join(map(decimal, row)), b"".join(map(piece, row)))
+        for chunk, parts in words_of.items():
+            if len(parts) != 1:
+                found = [known[w] for w in parts]
+                known[chunk] = (b",".join([x for x, _ in found]), b"".join([x for _, x in found]))
 
     def encode_batch(self, texts: list[str | None]) -> Iterator[tuple[bytes, bytes]]:
         """(decimal ids joined by commas, decoded bytes) of each text; null is empty."""
