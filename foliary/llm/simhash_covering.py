@@ -165,19 +165,20 @@ def simhash_groups(docs: DataFrame, width: int = 4, radius: int = 4, id_col: str
 
 
 #: Seeds of the word fingerprints that near copies are looked for with. Words change less than shingles do: of two texts
-#: whose sets of five-word shingles are alike by 0.8, few words in a hundred differ, so fingerprints weighted by words
-#: are mostly within the radius, and one of three independent ones nearly always is.
-WORD_SEEDS = (11, 12, 13)
+#: whose sets of five-word shingles are alike by 0.8, few words in a hundred differ, so word fingerprints are mostly
+#: within the radius, and one of four independent ones nearly always is. The weight is the root of a word's number: with
+#: the number itself, long texts of one language, which share its most frequent words, would all be candidates.
+WORD_SEEDS = (11, 12, 13, 14)
 #: Documents of a block when a cluster is checked.
 CHECKED = 256
 
 
 def word_fingerprint(counts: dict[bytes, int], seed: int) -> int:
-    """SimHash of words weighted by their number, signed."""
+    """SimHash of words weighted by the root of their number, signed."""
     if not counts:
         return 0
     h = np.array([xxhash.xxh64_intdigest(w, seed) for w in counts], "<u8")
-    n = np.fromiter(counts.values(), np.float64, len(counts))
+    n = np.sqrt(np.fromiter(counts.values(), np.float64, len(counts)))
     total = np.zeros(64)
     for at in range(0, len(h), SLICE):
         bits = np.unpackbits(h[at : at + SLICE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -269,6 +270,7 @@ def near_copy_groups(
     found = connected_components(near.union(spokes), work, "clusters").withColumnRenamed("node", "class")
     clusters = found.join(classes.select("class", "text_a", "text_b"), "class")
     clusters = work.write(clusters.withColumnRenamed("component", "cluster"), "clusters")
+    work.drop("cover", "cover-buckets", "each")
     sizes = work.write(clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
     members = clusters.join(sizes, "cluster").withColumnRenamed("class", "id")
     fetched = texts.join(members, ["id", "text_a", "text_b"]).select("cluster", "n", F.col("id").alias("class"), "text")
