@@ -55,7 +55,7 @@ def text_mask(probabilities: Column, threshold: float = TEXT_THRESHOLD) -> Colum
 
 def to_byte(x: Column) -> Column:
     """[0, 1] to 0..255, clamped, towards zero; NaN is 0."""
-    return truncate(F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)) * 255)
+    return F.when(F.isnan(x), 0).otherwise((F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)) * 255).cast("int"))
 
 
 def resized_width(width: Column, height: Column, target_height: float) -> Column:

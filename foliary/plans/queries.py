@@ -7,12 +7,19 @@ embeddings for pixels and for class scores, and events for requests; each stand-
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import islice
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliary.functions import arrays as A
+from foliary.functions import ctc
 from foliary.functions import text as T
+from foliary.operators.components import label_regions
+from foliary.operators.engine import PageReader
+from foliary.operators.layout import empty_rects, without_overlaps
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -397,6 +404,71 @@ def q28_counts(spark, sf_dir):
     return rows.groupBy("source").agg(F.sum("l").alias("n_lines"), F.sum("w").alias("n_words"), F.count(F.lit(1)).alias("n_images"))
 
 
+@query("""WITH RECURSIVE cells AS (
+        SELECT vec_id, i AS cell, i // 8 AS y, i % 8 AS x FROM (SELECT vec_id, embedding AS e, unnest(range(0, 64)) AS i FROM embeddings) WHERE e[i + 1] > 0.02::FLOAT
+    ), reach AS (
+        SELECT vec_id, cell, cell AS other FROM cells
+        UNION SELECT r.vec_id, r.cell, c.cell FROM reach r JOIN cells o ON o.vec_id = r.vec_id AND o.cell = r.other
+            JOIN cells c ON c.vec_id = r.vec_id AND abs(c.x - o.x) <= 1 AND abs(c.y - o.y) <= 1
+    ), least AS (SELECT vec_id, cell, min(other) AS first_cell FROM reach GROUP BY ALL)
+    SELECT vec_id, CAST(first_cell AS INTEGER) AS first_cell, count(*) AS n_cells FROM least GROUP BY ALL""")
+def q29_components(spark, sf_dir):
+    """Regions of an 8 x 8 mask, diagonal neighbours together, named by their first cell."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for r in batch.itertuples():
+                labels = label_regions((np.asarray(r.embedding, np.float32) > np.float32(0.02)).reshape(8, 8)).ravel()
+                number, first, size = np.unique(labels, return_index=True, return_counts=True)
+                rows += [(r.vec_id, int(f), int(n)) for k, f, n in zip(number, first, size, strict=True) if k]
+            yield pd.DataFrame(rows, columns=["vec_id", "first_cell", "n_cells"])
+
+    return load(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInPandas(run, "vec_id long, first_cell int, n_cells long")
+
+
+def page_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages' words as (image_id, word_idx, box)."""
+    c = F.col
+    values = {"cx": (c("left") + c("right")) / 2, "cy": (c("top") + c("bottom")) / 2, "ux": F.lit(0), "uy": F.lit(-1), "w": c("w"), "h": c("h")}
+    box = F.struct(*[v.cast("float").alias(k) for k, v in values.items()])
+    return page_words(spark, sf_dir).select(c("page").alias("image_id"), (c("rn") - 1).alias("word_idx"), box.alias("box"))
+
+
+@query()
+def q30_text_lines_layout(spark, sf_dir):
+    lines = PageReader().find_text_lines(page_boxes(spark, sf_dir))
+    return lines.select("image_id", "para_idx", "line_idx", F.size("words").alias("n_words"), F.get("words", F.lit(0))["cx"].alias("first_cx"))
+
+
+@query()
+def q31_empty_rects(spark, sf_dir):
+    """The largest three empty rectangles of each page, that overlap little."""
+
+    def run(page: pd.DataFrame) -> pd.DataFrame:
+        rects = np.stack([np.floor(page["top"]), np.floor(page["left"]), np.ceil(page["bottom"]), np.ceil(page["right"])], axis=1).astype(int)
+        bounds = (rects[:, 0].min(), rects[:, 1].min(), rects[:, 2].max(), rects[:, 3].max())
+        found = islice(without_overlaps(empty_rects(rects, bounds, lambda w, h: w * h, 5, 5)), 3)
+        rows = [(page["page"].iloc[0], k, *r) for k, r in enumerate(found)]
+        return pd.DataFrame(rows, columns=["page", "rank", "top", "left", "bottom", "right"])
+
+    words = page_words(spark, sf_dir).select("page", "top", "left", "bottom", "right")
+    return words.groupBy("page").applyInPandas(run, "page long, rank int, top int, left int, bottom int, right int")
+
+
+@query()
+def q32_ctc_beam(spark, sf_dir):
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for r in batch.itertuples():
+                steps = ctc.beam(np.asarray(r.embedding, np.float64).reshape(8, 8) * 8, 100)
+                rows.append((r.vec_id, "".join(LETTERS[label - 1] if label <= len(LETTERS) else "?" for label, _ in steps), len(steps)))
+            yield pd.DataFrame(rows, columns=["vec_id", "text", "n_steps"])
+
+    return load(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInPandas(run, "vec_id long, text string, n_steps int")
+
+
 @query("""SELECT vec_id, CAST(i AS INTEGER) AS grey_pixel, CAST(round((e[i+1]::DOUBLE - 0.5) * 1000) AS INTEGER) AS grey FROM (
     SELECT vec_id, embedding AS e, unnest(range(0, len(embedding))) AS i FROM embeddings)""")
 def q33_greyscale_one_channel(spark, sf_dir):
