@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,14 +27,6 @@ CHARS = f"array<struct<ch:string,rect:{RECT}>>"
 FIELDS = ["cx", "cy", "ux", "uy", "w", "h"]
 
 
-def _boxes(rows) -> np.ndarray:
-    return np.array([[r[f] for f in FIELDS] for r in rows], np.float32).reshape(-1, 6)
-
-
-def _as_rows(boxes: np.ndarray) -> list[dict]:
-    return [dict(zip(FIELDS, map(float, b), strict=True)) for b in boxes]
-
-
 @dataclass(frozen=True)
 class PageReader:
     """detection and recognition: models, where their steps are used; beam: width of the search, None for greedy decoding."""
@@ -98,14 +91,28 @@ class PageReader:
     def find_text_lines(self, words: DataFrame) -> DataFrame:
         """words (image_id, word_idx, box) to (image_id, para_idx, line_idx, words array of boxes), in reading order."""
 
-        def run(page: pd.DataFrame) -> pd.DataFrame:
-            page = page.sort_values("word_idx", kind="stable")
-            boxes = page[FIELDS].to_numpy(np.float32)
-            rows = [(page["image_id"].iloc[0], p, i, _as_rows(boxes[w])) for p, i, w in layout.reading_order(boxes)]
-            return pd.DataFrame(rows, columns=["image_id", "para_idx", "line_idx", "words"])
-
-        flat = words.select("image_id", "word_idx", *[F.col(f"box.{f}").alias(f) for f in FIELDS])
-        return flat.groupBy("image_id").applyInPandas(run, f"image_id {self._key(words)}, para_idx int, line_idx int, words array<{BOX}>")
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                images, pages = batch.columns
+                box = pages.flatten().field("box")
+                values = np.stack([box.field(f).to_numpy(zero_copy_only=False) for f in FIELDS], axis=1) if len(box) else np.zeros((0, 6), np.float32)
+                sizes = pages.value_lengths().to_numpy()
+                ends = np.cumsum(sizes)
+                page, para, line, order, offsets = [], [], [], [], [0]
+                for k, (s, e) in enumerate(zip(ends - sizes, ends, strict=True)):
+                    for p, i, words in layout.reading_order(values[s:e]):
+                        page.append(k)
+                        para.append(p)
+                        line.append(i)
+                        order += [s + w for w in words]
+                        offsets.append(len(order))
+                lines = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), box.take(pa.array(order, pa.int64())))
+                columns = [images.take(pa.array(page, pa.int64())), pa.array(para, pa.int32()), pa.array(line, pa.int32()), lines]
+                yield pa.RecordBatch.from_arrays(columns, names=["image_id", "para_idx", "line_idx", "words"])
+
+        # One row for each page, many pages in a batch: a call for each page would cost more than its layout.
+        pages = spread(words, "image_id").groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("word_idx", "box"))).alias("words"))
+        return pages.mapInArrow(run, f"image_id {self._key(words)}, para_idx int, line_idx int, words array<{BOX}>")
 
     def line_images(self, inputs: DataFrame, lines: DataFrame) -> DataFrame:
         """(image_id, line_idx, ring, width, group_width, image): each line's polygon and its pixels at the model's height."""
@@ -170,6 +177,15 @@ class PageReader:
         return df.schema["image_id"].dataType.simpleString()
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df dealt by key to as many tasks as a shuffle has partitions.
+
+    With a number of its own a shuffle isn't coalesced for the few bytes it has: what follows costs time, not bytes. A
+    groupBy on key needs no other shuffle.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def _grey(row) -> np.ndarray:
     size = len(row.grey) // 4
     return np.frombuffer(row.grey, "<f4").reshape(row.height, size // row.height)

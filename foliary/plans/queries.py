@@ -18,7 +18,7 @@ from foliary.functions import arrays as A
 from foliary.functions import ctc
 from foliary.functions import text as T
 from foliary.operators.components import label_regions
-from foliary.operators.engine import PageReader
+from foliary.operators.engine import PageReader, spread
 from foliary.operators.layout import empty_rects, without_overlaps
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,7 +80,7 @@ def each_word(words: DataFrame, item) -> DataFrame:
 def page_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as word boxes: one page for each order, words numbered from 1."""
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    w = load(spark, sf_dir, "lineitem").select(
+    w = spread(load(spark, sf_dir, "lineitem"), "l_orderkey").select(
         F.col("l_orderkey").alias("page"), F.row_number().over(order).alias("rn"), F.col("l_quantity").alias("w"),
         (30.0 * F.col("l_linenumber")).alias("top"), (F.col("l_partkey") % 7 + 10).cast("double").alias("h"),
     )
@@ -445,15 +445,20 @@ def q30_text_lines_layout(spark, sf_dir):
 def q31_empty_rects(spark, sf_dir):
     """The largest three empty rectangles of each page, that overlap little."""
 
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        rects = np.stack([np.floor(page["top"]), np.floor(page["left"]), np.ceil(page["bottom"]), np.ceil(page["right"])], axis=1).astype(int)
-        bounds = (rects[:, 0].min(), rects[:, 1].min(), rects[:, 2].max(), rects[:, 3].max())
-        found = islice(without_overlaps(empty_rects(rects, bounds, lambda w, h: w * h, 5, 5)), 3)
-        rows = [(page["page"].iloc[0], k, *r) for k, r in enumerate(found)]
-        return pd.DataFrame(rows, columns=["page", "rank", "top", "left", "bottom", "right"])
-
-    words = page_words(spark, sf_dir).select("page", "top", "left", "bottom", "right")
-    return words.groupBy("page").applyInPandas(run, "page long, rank int, top int, left int, bottom int, right int")
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for page, words in zip(batch["page"], batch["words"], strict=True):
+                box = np.array([[w["top"], w["left"], w["bottom"], w["right"]] for w in words])
+                rects = np.concatenate([np.floor(box[:, :2]), np.ceil(box[:, 2:])], axis=1).astype(int)
+                bounds = (*rects[:, :2].min(axis=0), *rects[:, 2:].max(axis=0))
+                found = islice(without_overlaps(empty_rects(rects, bounds, lambda w, h: w * h, 5, 5)), 3)
+                rows += [(page, k, *r) for k, r in enumerate(found)]
+            yield pd.DataFrame(rows, columns=["page", "rank", "top", "left", "bottom", "right"])
+
+    words = F.struct("rn", "top", "left", "bottom", "right")
+    pages = page_words(spark, sf_dir).groupBy("page").agg(F.array_sort(F.collect_list(words)).alias("words"))
+    return pages.mapInPandas(run, "page long, rank int, top int, left int, bottom int, right int")
 
 
 @query()
