@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 
 
@@ -12,30 +14,37 @@ def greedy(scores: np.ndarray) -> list[tuple[int, int]]:
     return [(int(best[i]), int(i)) for i in np.flatnonzero(first)]
 
 
+def _add(a: float, b: float) -> float:
+    """log(e^a + e^b)."""
+    if a < b:
+        a, b = b, a
+    return a if b == -math.inf else a + math.log1p(math.exp(b - a))
+
+
 def beam(scores: np.ndarray, width: int) -> list[tuple[int, int]]:
     """The best labelling of a prefix beam search: of all alignments that give a prefix the probabilities are summed."""
+    none = -math.inf
     # Prefix -> log probability of alignments that end with a blank, and of the others; and where labels came first.
-    beams: dict[tuple[int, ...], tuple[float, float]] = {(): (0.0, -np.inf)}
+    beams: dict[tuple[int, ...], tuple[float, float]] = {(): (0.0, none)}
     where: dict[tuple[int, ...], int] = {}
-    add = np.logaddexp
-    for t, row in enumerate(scores):
-        new: dict[tuple[int, ...], list[float]] = {}
-
-        def put(prefix, k, value, new=new):
-            entry = new.setdefault(prefix, [-np.inf, -np.inf])
-            entry[k] = float(add(entry[k], value))
-
-        labels = [int(c) for c in np.argsort(-row, kind="stable")[: width + 1] if c and row[c] > -np.inf]
+    for t, array in enumerate(scores):
+        row = array.tolist()
+        labels = [c for c in np.argsort(-array, kind="stable")[: width + 1].tolist() if c and row[c] > none]
+        with_blank: dict[tuple[int, ...], float] = {}
+        with_label: dict[tuple[int, ...], float] = {}
         for prefix, (blank, other) in beams.items():
-            put(prefix, 0, add(blank, other) + row[0])
-            if prefix:
-                put(prefix, 1, other + row[prefix[-1]])
+            total = _add(blank, other)
+            with_blank[prefix] = total + row[0]
+            last = prefix[-1] if prefix else 0
+            if last:
+                with_label[prefix] = _add(with_label.get(prefix, none), other + row[last])
             for c in labels:
                 longer = (*prefix, c)
-                put(longer, 1, (blank if prefix and prefix[-1] == c else add(blank, other)) + row[c])
+                with_label[longer] = _add(with_label.get(longer, none), (blank if c == last else total) + row[c])
                 where.setdefault(longer, t)
-        order = sorted(new.items(), key=lambda x: (-add(*x[1]), x[0]))[:width]
-        beams = {p: (b, o) for p, (b, o) in order}
+        both = {p: (with_blank.get(p, none), with_label.get(p, none)) for p in with_blank | with_label}
+        order = sorted(both, key=lambda p: (-_add(*both[p]), p))[:width]
+        beams = {p: both[p] for p in order}
     best = next(iter(beams))
     return [(c, where[best[: i + 1]]) for i, c in enumerate(best)]
 
