@@ -15,10 +15,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliary.llm.common import MASK64, small_enough
+from foliary.llm.common import small_enough
 
 #: Words of a window; a shorter item is one window, if it has at least SHORTEST words.
 WINDOW, SHORTEST = 13, 5
@@ -27,7 +28,7 @@ LITERAL = 0.5
 #: Windows of the benchmark up to which they are broadcast; 12 bytes each as a filter.
 BROADCAST_WINDOWS = 2_000_000
 #: Words a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 
 NUMBER = re.compile(r"[+-]?[$€£]?[0-9][0-9.,:/]*(?:e[+-]?[0-9]+)?%?")
 NUMBER_WITH_UNIT = re.compile(r"([+-]?[$€£]?[0-9][0-9.,]*)([a-zµ°%]{1,4})")
@@ -39,6 +40,9 @@ UNITS = frozenset(
     "dollar dollars euro euros cent cents usd eur gbp".split()
 )
 EDGES = "\"'`.,;:!?()[]{}<>«»“”‘’*|…"
+NUMBER_HEADS = frozenset("0123456789+-$€£")
+CLOSING, SENTENCE_ENDS = "\"')]}»”’", frozenset(".!?:|")
+ENDS = SENTENCE_ENDS | frozenset(CLOSING)
 NUM, UNIT, NAME = 1, 2, 3
 IS_NUMBER, IS_UNIT, IS_CAPITAL, ENDS_SENTENCE, IS_EMPTY = 1, 2, 4, 8, 16
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -63,22 +67,17 @@ class Words(dict):
         bare = raw.strip(EDGES)
         form = bare.lower()
         trait = 0 if form else IS_EMPTY
-        if NUMBER.fullmatch(form) or form in NUMBER_WORDS:
-            trait |= IS_NUMBER
-        elif NUMBER_WITH_UNIT.fullmatch(form):
+        if form[:1] in NUMBER_HEADS and (NUMBER.fullmatch(form) or NUMBER_WITH_UNIT.fullmatch(form)) or form in NUMBER_WORDS:
             trait |= IS_NUMBER
         if form in UNITS:
             trait |= IS_UNIT
-        if len(bare) > 1 and bare[0].isupper() and bare[1:].islower():
+        if bare[:1].isupper() and bare[1:].islower():
             trait |= IS_CAPITAL
-        if raw.rstrip("\"')]}»”’").endswith((".", "!", "?", ":", "|")):
+        if raw[-1:] in ENDS and raw.rstrip(CLOSING)[-1:] in SENTENCE_ENDS:
             trait |= ENDS_SENTENCE
         self.form.append(form)
         self.trait.append(trait)
-        # 64 bits of a string, the same in every process.
-        h = 0xCBF29CE484222325
-        for b in form.encode():
-            h = ((h ^ b) * 0x100000001B3) & MASK64
+        h = xxhash.xxh64_intdigest(form.encode())
         self.hash.append(h - (h >> 63 << 64))
         self[raw] = at = len(self.form) - 1
         return at
