@@ -17,11 +17,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliary.llm.common import Workspace, complete_groups, deal_tiles, group_starts, label_components
+from foliary.llm.common import Workspace, complete_groups, deal_tiles, group_starts, label_components, small_enough
 from foliary.llm.components import connected_components
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 SEED = 42
+#: Rows of a few numbers that are broadcast at most, some 20 MB; a larger table is joined by a shuffle.
+BROADCAST_ROWS = 500_000
 #: Rows of a block when a bucket is too large for one task.
 BLOCK = 512
 #: Shingles hashed at once, so that a very long text takes bounded memory.
@@ -125,7 +127,8 @@ def near_edges(prints: DataFrame, radius: int, work: Workspace, tag: str = "cove
     )
     buckets = work.write(buckets, f"{tag}-buckets")
     twos = buckets.where("n = 2").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius).select("a", "b")
-    more = deal_tiles(dealt.join(buckets.where("n > 2").select("bucket", "n"), "bucket"), "bucket", "n", "fp", BLOCK)
+    large = small_enough(buckets.where("n > 2").select("bucket", "n"), BROADCAST_ROWS)
+    more = deal_tiles(dealt.join(large, "bucket"), "bucket", "n", "fp", BLOCK)
     keys = ["bucket", "tile_i", "tile_j"]
     met = (
         more.select(*keys, "fp").repartition(*keys).sortWithinPartitions(*keys)
@@ -272,8 +275,8 @@ def near_copy_groups(
     clusters = work.write(clusters.withColumnRenamed("component", "cluster"), "clusters")
     work.drop("cover", "cover-buckets", "each")
     sizes = work.write(clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
-    members = clusters.join(sizes, "cluster").withColumnRenamed("class", "id")
-    fetched = texts.join(members, ["id", "text_a", "text_b"]).select("cluster", "n", F.col("id").alias("class"), "text")
+    members = work.write(clusters.join(sizes, "cluster").withColumnRenamed("class", "id"), "members")
+    fetched = texts.join(small_enough(members, BROADCAST_ROWS), ["id", "text_a", "text_b"]).select("cluster", "n", F.col("id").alias("class"), "text")
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -304,4 +307,4 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     text = F.col(text_col).cast("string")
     a, b = F.xxhash64(F.lit(1), text), F.xxhash64(F.lit(2), text, F.length(text))
     on = (F.col(id_col).cast("long") == gone["_id"]) & (a == gone["text_a"]) & (b == gone["text_b"])
-    return docs.join(gone, on, "left_anti")
+    return docs.join(small_enough(gone, BROADCAST_ROWS), on, "left_anti")

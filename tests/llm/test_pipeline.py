@@ -35,8 +35,10 @@ def groups(rows):
     return {d: find(d) for d in root}
 
 
-def test_near_copies_equal_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("broadcast", [500_000, 0])
+def test_near_copies_equal_brute_force(spark, monkeypatch, broadcast):
     monkeypatch.setattr(simhash_covering, "CHECKED", 8)
+    monkeypatch.setattr(simhash_covering, "BROADCAST_ROWS", broadcast)
     rng = random.Random(7)
     word = lambda: f"W{min(int(rng.paretovariate(0.5)), 4000)}"
     rows = []
