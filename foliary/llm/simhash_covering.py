@@ -167,11 +167,16 @@ def simhash_groups(docs: DataFrame, width: int = 4, radius: int = 4, id_col: str
     return group_prints(prints, radius, work)
 
 
-#: Seeds of the word fingerprints that near copies are looked for with. Words change less than shingles do: of two texts
-#: whose sets of five-word shingles are alike by 0.8, few words in a hundred differ, so word fingerprints are mostly
-#: within the radius, and one of four independent ones nearly always is. The weight is the root of a word's number: with
+#: Seeds of the word fingerprints, the first source of candidates. Words change less than shingles do: where few words in
+#: a hundred, scattered over the text, differ, word fingerprints are mostly within the radius, and one of four independent
+#: ones nearly always is; where a block was added, cut or replaced, often none is. The weight is the root of a word's number: with
 #: the number itself, long texts of one language, which share its most frequent words, would all be candidates.
 WORD_SEEDS = (11, 12, 13, 14)
+#: MinHash bands, the second source of candidates, and rows of a band. The chance that two texts share a band follows from
+#: the likeness s of their shingle sets alone, 1 - (1 - s^8)^40: 0.9993 at 0.8, 0.9999993 at 0.85; wherever the texts differ.
+BANDS, BAND_ROWS = 40, 8
+#: Shingles whose values under all functions are held at once.
+HASHED = 1024
 #: Documents of a block when a cluster is checked.
 CHECKED = 256
 
@@ -189,6 +194,39 @@ def word_fingerprint(counts: dict[bytes, int], seed: int) -> int:
     return int(np.packbits(2 * total > n.sum(), bitorder="little").view("<i8")[0])
 
 
+_random = np.random.default_rng(3)
+_flip, _times = (_random.integers(0, 1 << 32, BANDS * BAND_ROWS, np.uint32) for _ in range(2))
+_times |= np.uint32(1)
+_fold = _random.integers(0, 1 << 63, (BAND_ROWS, BANDS), np.uint64) | np.uint64(1)
+
+
+def band_keys(hashes: Iterator[np.ndarray]) -> np.ndarray:
+    """A key, signed, for each of BANDS bands of the set's least values under BAND_ROWS functions each; none has all keys alike."""
+    least = np.full(BANDS * BAND_ROWS, 0xFFFFFFFF, np.uint32)
+    for h in hashes:
+        high = (h >> np.uint64(32)).astype(np.uint32)
+        for at in range(0, len(high), HASHED):
+            values = high[at : at + HASHED, None] ^ _flip
+            values *= _times
+            np.minimum(least, values.min(axis=0), out=least)
+    # Each band's multipliers are its own, so keys of different bands meet by chance alone.
+    key = (least.reshape(BAND_ROWS, BANDS).astype(np.uint64) + np.uint64(1)) * _fold
+    key = np.bitwise_xor.reduce(key ^ (key >> np.uint64(29)), axis=0) * np.uint64(0xBF58476D1CE4E5B9)
+    return (key ^ (key >> np.uint64(32))).view(np.int64)
+
+
+def band_edges(held: DataFrame, work: Workspace) -> DataFrame:
+    """Edges (a, b) of classes with the components of all that share a key; held: (class, key).
+
+    A key's classes are never brought together: each has an edge to the least of them.
+    """
+    keys = held.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("a"), F.max("class").alias("b"))
+    keys = work.write(keys.where("n > 1"), "bands")
+    large = small_enough(keys.where("n > 2").select("key", "a"), BROADCAST_ROWS)
+    more = held.join(large, "key").select("a", F.col("class").alias("b"))
+    return keys.where("n = 2").select("a", "b").unionByName(more)
+
+
 def alike(sets: list[np.ndarray], share: tuple[int, int]) -> np.ndarray:
     """For sets of sorted distinct numbers: is intersection / union at least share; empty sets are alike."""
     size = np.array([len(x) for x in sets])
@@ -238,8 +276,8 @@ def near_copy_groups(
 
     Texts that are equal are one class; classes are linked if their sets of `width`-word shingles (A-Z lower-cased, a
     shorter text's whole sequence) have at least share[0] / share[1] of their union in common. Candidates are those with
-    a word fingerprint within the radius for one of WORD_SEEDS, which covering tables find without a miss; clusters of
-    candidates are then checked exactly on 32-bit hashes of whole texts' shingles, in tiles. component is the smallest
+    a word fingerprint within the radius for one of WORD_SEEDS, which covering tables find without a miss, and those that
+    share one of BANDS MinHash bands of the `width`-word shingles; clusters of candidates are then checked exactly on 32-bit hashes of whole texts' shingles, in tiles. component is the smallest
     id reachable; text_a and text_b tell equal texts. Null texts are equal, and alike to texts without words.
     """
     work = Workspace(docs.sparkSession, "copies")
@@ -249,19 +287,21 @@ def near_copy_groups(
         F.xxhash64(F.lit(2), text, F.length(text)).alias("text_b"), text.alias("text"),
     )
     names = [f"fp{s}" for s in WORD_SEEDS]
+    bands = [f"band{i}" for i in range(BANDS)]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
             for x in batch.column(3):
-                counts = Counter(words_of(x.as_py()))
-                found.append([word_fingerprint(counts, s) for s in WORD_SEEDS])
-            columns = [pa.array(c, pa.int64()) for c in zip(*found, strict=True)] if found else [pa.array([], pa.int64())] * len(names)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=["id", "text_a", "text_b", *names])
+                words = words_of(x.as_py())
+                counts = Counter(words)
+                found.append([*(word_fingerprint(counts, s) for s in WORD_SEEDS), *band_keys(shingle_hashes(words, width)).tolist()])
+            columns = [pa.array(c, pa.int64()) for c in zip(*found, strict=True)] if found else [pa.array([], pa.int64())] * len(names + bands)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=["id", "text_a", "text_b", *names, *bands])
 
-    schema = "id long, text_a long, text_b long, " + ", ".join(f"{n} long" for n in names)
+    schema = "id long, text_a long, text_b long, " + ", ".join(f"{n} long" for n in names + bands)
     prints = work.write(texts.mapInArrow(measure, schema), "prints")
-    classes = prints.groupBy("text_a", "text_b").agg(F.min("id").alias("class"), *[F.min(n).alias(n) for n in names])
+    classes = prints.groupBy("text_a", "text_b").agg(F.min("id").alias("class"), *[F.min(n).alias(n) for n in names + bands])
     classes = work.write(classes, "classes")
     kinds = F.explode(F.array(*[F.struct(F.lit(s).alias("seed"), F.col(n).alias("fp")) for s, n in zip(WORD_SEEDS, names, strict=True)])).alias("k")
     held = classes.select("class", kinds).select("class", "k.seed", "k.fp")
@@ -270,10 +310,11 @@ def near_copy_groups(
     # Nodes are fingerprints and class ids; should two of these be equal, a cluster to be checked is larger.
     met = near.select(F.explode(F.array("a", "b")).alias("fp")).union(each.where("n > 1").select("fp")).distinct()
     spokes = held.join(met, "fp").select(F.col("class").alias("a"), F.col("fp").alias("b"))
-    found = connected_components(near.union(spokes), work, "clusters").withColumnRenamed("node", "class")
+    shared = band_edges(classes.select("class", F.explode(F.array(*bands)).alias("key")), work)
+    found = connected_components(near.union(spokes).union(shared), work, "clusters").withColumnRenamed("node", "class")
     clusters = found.join(classes.select("class", "text_a", "text_b"), "class")
     clusters = work.write(clusters.withColumnRenamed("component", "cluster"), "clusters")
-    work.drop("cover", "cover-buckets", "each")
+    work.drop("cover", "cover-buckets", "each", "bands")
     sizes = work.write(clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
     members = work.write(clusters.join(sizes, "cluster").withColumnRenamed("class", "id"), "members")
     fetched = texts.join(small_enough(members, BROADCAST_ROWS), ["id", "text_a", "text_b"]).select("cluster", "n", F.col("id").alias("class"), "text")

@@ -62,6 +62,31 @@ def test_near_copies_equal_brute_force(spark, monkeypatch, broadcast):
     assert simhash_covering.drop_near_copies(docs.limit(0)).count() == 0
 
 
+def test_copies_that_differ_in_one_block_are_found(spark):
+    rng = random.Random(3)
+    word = lambda: f"w{rng.randrange(20000)}"
+    edits = {
+        "append": lambda w, k: w + [word() for _ in range(k)],
+        "cut": lambda w, k: w[: len(w) - k],
+        "replace": lambda w, k: w[:40] + [word() for _ in range(k)] + w[40 + k :],
+    }
+    rows, pairs = [], {}
+    for kind, edit in edits.items():
+        for n in range(60):
+            base = [word() for _ in range(rng.choice([80, 200, 600]))]
+            copy = edit(base, len(base) * (5 if kind == "replace" else 15) // 100)
+            a, b = sets(" ".join(base)), sets(" ".join(copy))
+            if 5 * len(a & b) >= 4 * len(a | b):
+                pairs.setdefault(kind, []).append((len(rows), len(rows) + 1))
+            rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(copy))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["id"]: r["component"] for r in simhash_covering.near_copy_groups(docs).collect()}
+    want = groups(rows)
+    assert all(got[d] >= want[d] for d in got)
+    for kind, of in pairs.items():
+        assert len(of) > 30 and sum(got[a] == got[b] for a, b in of) >= 0.99 * len(of), kind
+
+
 @pytest.fixture(scope="module")
 def stages(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("stages")
