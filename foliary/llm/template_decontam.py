@@ -4,7 +4,7 @@ Words are lower-cased and stripped of punctuation at their ends; numbers, units
 within sentences become typed placeholders. Windows of WINDOW template words are hashed; those of documents are joined
 with those of benchmark items. The windows of an item that match at one alignment count if the values in their slots
 can be mapped: one value of the item must stand for one value of the document throughout. So an item is found when its
-numbers and names have been exchanged, but not where a template fits by chance; of other alignments the windows with
+numbers and names have been exchanged, also names that open sentences, as capitalised words there have both forms, but not where a template fits by chance; of other alignments the windows with
 equal values count. A window with few literal words must have equal values.
 """
 
@@ -25,6 +25,8 @@ from foliary.llm.common import small_enough
 WINDOW, SHORTEST = 13, 5
 #: Literal words a window needs, as a share, for its slots to be free.
 LITERAL = 0.5
+#: Words that open sentences up to which a window has every mixture of forms; with more, all literal and all names.
+OPENERS = 6
 #: Windows of the benchmark up to which they are broadcast; 12 bytes each as a filter.
 BROADCAST_WINDOWS = 2_000_000
 #: Words a worker remembers.
@@ -104,7 +106,8 @@ class Template:
         self.kind = np.where((self.kind == 0) & (trait & IS_UNIT > 0) & after_number, UNIT, self.kind)
         self.kind = np.where((self.kind == 0) & (trait & IS_CAPITAL > 0) & ~first, NAME, self.kind)
         self.at, self.words = at, words
-        self.opens_capital = bool(len(at)) and bool(trait[0] & IS_CAPITAL) and self.kind[0] == 0
+        self.openers = np.flatnonzero((self.kind == 0) & (trait & IS_CAPITAL > 0))
+        self.opens_capital = bool(len(self.openers)) and self.openers[0] == 0
 
     def __len__(self) -> int:
         return len(self.at)
@@ -122,9 +125,49 @@ class Template:
         total = np.concatenate([[np.uint64(0)], np.cumsum(word * power[0][:-1], dtype=np.uint64)])
         return mix((total[size:] - total[:-size]) * power[1][:n] + np.uint64(size)).view(np.int64)
 
-    def slots(self, start: int, size: int, first_is_name: bool = False) -> list[str]:
+    def forms(self, size: int) -> list[tuple[np.ndarray, np.ndarray, int]]:
+        """(starts, hashes, named): the windows as they are, then those in which openers of sentences are names too.
+
+        Bit j of named stands for the window's opener j; -1 for all of them.
+        """
+        n = len(self.at) - size + 1
+        if n <= 0:
+            return []
+        word = mix(np.where(self.kind > 0, self.kind.astype(np.uint64), self.literal))
+        forward, back = powers(len(word) + 1)
+        total = np.concatenate([[np.uint64(0)], np.cumsum(word * forward[:-1], dtype=np.uint64)])
+        sums = total[size:] - total[:-size]
+
+        def hashed(sums: np.ndarray, at: np.ndarray) -> np.ndarray:
+            return mix(sums * back[at] + np.uint64(size)).view(np.int64)
+
+        out = [(np.arange(n), hashed(sums, np.arange(n)), 0)]
+        if len(self.openers):
+            change = (mix(np.array([NAME], np.uint64)) - word[self.openers]) * forward[self.openers]
+            first = np.searchsorted(self.openers, np.arange(n))
+            count = np.searchsorted(self.openers, np.arange(n) + size) - first
+            few = count <= OPENERS
+            for named in range(1, 1 << min(OPENERS, int(count.max()))):
+                at = np.flatnonzero(few & (count >= named.bit_length()))
+                if len(at):
+                    changed = sum(change[first[at] + j] for j in range(named.bit_length()) if named >> j & 1)
+                    out.append((at, hashed(sums[at] + changed, at), named))
+            at = np.flatnonzero(~few)
+            if len(at):
+                changes = np.concatenate([[np.uint64(0)], np.cumsum(change, dtype=np.uint64)])
+                out.append((at, hashed(sums[at] + changes[first[at] + count[at]] - changes[first[at]], at), -1))
+        return out
+
+    def names(self, start: int, size: int, named: int) -> list[int]:
+        """Places of the openers that are names in a form of the window."""
+        if not named:
+            return []
+        s, e = np.searchsorted(self.openers, [start, start + size])
+        return [int(x) for j, x in enumerate(self.openers[s:e]) if named < 0 or named >> j & 1]
+
+    def slots(self, start: int, size: int, first_is_name: bool = False, names: list[int] = ()) -> list[str]:
         part = range(start, start + size)
-        return [self.words.form[self.at[i]] for i in part if self.kind[i] or (first_is_name and i == 0)]
+        return [self.words.form[self.at[i]] for i in part if self.kind[i] or i in names or (first_is_name and i == 0)]
 
     def literals(self, size: int) -> np.ndarray:
         total = np.concatenate([[0], np.cumsum(self.kind == 0)])
@@ -145,12 +188,15 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
-BENCH = "hash long, size int, item_id long, place int, n_windows int, free boolean, item_slots array<string>"
-DOC = "hash long, doc long, at int, slots array<string>"
+BENCH = "hash long, size int, item_id long, place int, n_windows int, free boolean, item_slots array<string>, item_named boolean"
+DOC = "hash long, doc long, at int, slots array<string>, named boolean"
 
 
 def benchmark_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """A row for each window of each item; the first word of an item, if capitalised, also counts as a name."""
+    """A row for each form of each window of each item; capitalised words that open sentences are literals and names.
+
+    A form with a name other than the first word of the item is marked, as it may fit by less than the window's words.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
@@ -162,11 +208,12 @@ def benchmark_windows(items: DataFrame, id_col: str = "item_id", text_col: str =
                 if size < SHORTEST:
                     continue
                 literal = t.literals(size)
-                for named in (False, True)[: 1 + t.opens_capital]:
-                    hashes = t.windows(size, named)[: 1 if named else None]
-                    for i, h in enumerate(hashes.tolist()):
-                        free = literal[i] - (named and i == 0) >= LITERAL * size
-                        rows.append((h, size, item.as_py(), i, len(literal), bool(free), t.slots(i, size, named)))
+                for at, hashes, named in t.forms(size):
+                    for i, h in zip(at.tolist(), hashes.tolist(), strict=True):
+                        names = t.names(i, size, named)
+                        free = literal[i] - len(names) >= LITERAL * size
+                        marked = bool(names) and names != [0]
+                        rows.append((h, size, item.as_py(), i, len(literal), bool(free), t.slots(i, size, names=names), marked))
             yield from record(rows, BENCH)
 
     return items.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, BENCH)
@@ -181,7 +228,7 @@ def record(rows: list[tuple], schema: str) -> Iterator[pa.RecordBatch]:
 
 
 def document_windows(docs: DataFrame, sizes: list[int], wanted: np.ndarray | None, id_col: str, text_col: str) -> DataFrame:
-    """A row for each window of each text, of those in `wanted` (sorted hashes) if it is given."""
+    """A row for each form of each window of each text, of those in `wanted` (sorted hashes) if it is given."""
     image = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,11 +238,14 @@ def document_windows(docs: DataFrame, sizes: list[int], wanted: np.ndarray | Non
             for doc, text in zip(batch.column(0), batch.column(1), strict=True):
                 t = Template(words, text.as_py())
                 for size in sizes:
-                    h = t.windows(size)
-                    at = np.arange(len(h))
-                    if wanted is not None:
-                        at = at[wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h]
-                    rows += [(int(h[i]), doc.as_py(), i, t.slots(i, size)) for i in at.tolist()]
+                    for at, h, named in t.forms(size):
+                        if wanted is not None:
+                            met = wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h
+                            at, h = at[met], h[met]
+                        rows += [
+                            (x, doc.as_py(), i, t.slots(i, size, names=t.names(i, size, named)), named != 0)
+                            for i, x in zip(at.tolist(), h.tolist(), strict=True)
+                        ]
                 if len(rows) > 20000:
                     yield from record(rows, DOC)
                     rows = []
@@ -229,15 +279,19 @@ def contaminated(
     equal = F.col("item_slots") == F.col("slots")
     windows = pairs.where(F.col("free") | equal).select(
         "doc", "item_id", "place", (F.col("at") - F.col("place")).alias("shift"), "n_windows",
-        F.struct(F.arrays_zip("item_slots", "slots").alias("slots"), equal.alias("equal"), "place").alias("w"),
+        F.struct(F.arrays_zip("item_slots", "slots").alias("slots"), equal.alias("equal"), "place", (F.col("item_named") | F.col("named")).alias("named")).alias("w"),
     )
     # The windows of one alignment, as many as the item has at most, are looked at together.
     aligned = windows.groupBy("doc", "item_id", "shift", "n_windows").agg(F.collect_set("w").alias("ws"))
-    slots = F.array_distinct(F.flatten("ws.slots"))
-    fits = F.size(F.array_distinct(F.transform(slots, lambda x: x["item_slots"]))) == F.size(slots)
+    # Names that open sentences must fit with all windows; the others are not judged by them.
+    def fitting(ws):
+        slots = F.array_distinct(F.flatten(F.transform(ws, lambda w: w["slots"])))
+        return F.size(F.array_distinct(F.transform(slots, lambda x: x["item_slots"]))) == F.size(slots)
+
+    plain = fitting(F.filter("ws", lambda w: ~w["named"]))
     places = (
-        aligned.select("doc", "item_id", "n_windows", fits.alias("fits"), F.explode("ws").alias("w"))
-        .where("fits or w.equal")
+        aligned.select("doc", "item_id", "n_windows", plain.alias("plain"), fitting(F.col("ws")).alias("fits"), F.explode("ws").alias("w"))
+        .where("fits or w.equal or plain and not w.named")
         .groupBy("doc", "item_id", F.col("w.place").alias("place"))
         .agg(F.max("w.equal").alias("exact"), F.max("n_windows").alias("all"))
     )

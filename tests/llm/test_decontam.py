@@ -73,3 +73,12 @@ def test_equals_brute_force(spark, limit):
 def test_empty_tables(spark):
     d, b = frames(spark, [(1, ITEM)], [(1, ITEM)])
     assert D.contaminated(d.limit(0), b).count() == 0 and D.contaminated(d, b.limit(0)).count() == 0
+
+
+def test_names_that_open_sentences_may_be_exchanged(spark):
+    item = "Tom has 12 red apples. Ann has 9 green pears. How many fruits do Tom and Ann have?"
+    copy = "Jim has 7 red apples. Sue has 5 green pears. How many fruits do Jim and Sue have?"
+    mixed = "Jim has 7 red apples. Sue has 5 green pears. How many fruits do Bob and Sue have?"
+    d, b = frames(spark, [(1, copy), (2, "Well: " + copy), (3, mixed), (4, item)], [(1, item)])
+    found = got(D.contaminated(d, b))
+    assert found[(1, 1)] == found[(2, 1)] == (6, 0) and found[(4, 1)] == (6, 6) and (3, 1) not in found
