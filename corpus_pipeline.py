@@ -28,7 +28,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     work = Workspace(spark, "decontam")
-    found = template_decontam.contaminated(docs, load(spark, sf_dir, "benchmark"))
+    found = template_decontam.contaminated(docs, load(spark, sf_dir, "benchmark"), any_case=True)
     gone = work.write(found.select(F.col("doc_id").alias("_id")).distinct(), "gone")
     return docs.join(small_enough(gone, 100_000), docs["doc_id"] == gone["_id"], "left_anti")
 

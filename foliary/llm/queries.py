@@ -69,7 +69,7 @@ def op6_label_propagation_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return template_decontam.contaminated(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+    return template_decontam.contaminated(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"), any_case=True)
 
 
 def op8_token_count_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ within sentences become typed placeholders. Windows of WINDOW template words are
 with those of benchmark items. The windows of an item that match at one alignment count if the values in their slots
 can be mapped: one value of the item must stand for one value of the document throughout. So an item is found when its
 numbers and names have been exchanged, also names that open sentences, as capitalised words there have both forms, but not where a template fits by chance; of other alignments the windows with
-equal values count. A window with few literal words must have equal values.
+equal values count. On demand windows are also hashed without slots, so a copy is found whatever its case. A window with few literal words must have equal values.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ WINDOW, SHORTEST = 13, 5
 LITERAL = 0.5
 #: Words that open sentences up to which a window has every mixture of forms; with more, all literal and all names.
 OPENERS = 6
+#: Marks the form of a window without slots.
+PLAIN = -2
 #: Windows of the benchmark up to which they are broadcast; 12 bytes each as a filter.
 BROADCAST_WINDOWS = 2_000_000
 #: Words a worker remembers.
@@ -112,31 +114,25 @@ class Template:
     def __len__(self) -> int:
         return len(self.at)
 
-    def windows(self, size: int, first_is_name: bool = False) -> np.ndarray:
-        """Hash of each window of `size` template words, signed."""
-        n = len(self.at) - size + 1
-        if n <= 0:
-            return np.zeros(0, np.int64)
-        kind = self.kind.copy()
-        if first_is_name:
-            kind[0] = NAME
-        word = mix(np.where(kind > 0, kind.astype(np.uint64), self.literal))
-        power = powers(len(word) + 1)
-        total = np.concatenate([[np.uint64(0)], np.cumsum(word * power[0][:-1], dtype=np.uint64)])
-        return mix((total[size:] - total[:-size]) * power[1][:n] + np.uint64(size)).view(np.int64)
-
-    def forms(self, size: int) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    def forms(self, size: int, any_case: bool) -> list[tuple[np.ndarray, np.ndarray, int]]:
         """(starts, hashes, named): the windows as they are, then those in which openers of sentences are names too.
 
-        Bit j of named stands for the window's opener j; -1 for all of them.
+        Bit j of named stands for the window's opener j; -1 for all of them. With any_case, last come, as PLAIN, windows with slots as
+        words alone, so that a copy is met whatever its case.
         """
         n = len(self.at) - size + 1
         if n <= 0:
             return []
-        word = mix(np.where(self.kind > 0, self.kind.astype(np.uint64), self.literal))
+        slot = self.kind > 0
+        plain = mix(self.literal)
+        word = np.where(slot, mix(self.kind.astype(np.uint64)), plain) if slot.any() else plain
         forward, back = powers(len(word) + 1)
-        total = np.concatenate([[np.uint64(0)], np.cumsum(word * forward[:-1], dtype=np.uint64)])
-        sums = total[size:] - total[:-size]
+
+        def windowed(word: np.ndarray) -> np.ndarray:
+            total = np.concatenate([np.zeros(1, word.dtype), np.cumsum(word, dtype=word.dtype)])
+            return total[size:] - total[:-size]
+
+        sums = windowed(word * forward[:-1])
 
         def hashed(sums: np.ndarray, at: np.ndarray) -> np.ndarray:
             return mix(sums * back[at] + np.uint64(size)).view(np.int64)
@@ -156,17 +152,20 @@ class Template:
             if len(at):
                 changes = np.concatenate([[np.uint64(0)], np.cumsum(change, dtype=np.uint64)])
                 out.append((at, hashed(sums[at] + changes[first[at] + count[at]] - changes[first[at]], at), -1))
+        if any_case and slot.any():
+            at = np.flatnonzero(windowed(slot.astype(np.int64)))
+            out.append((at, hashed(windowed(plain * forward[:-1])[at], at), PLAIN))
         return out
 
     def names(self, start: int, size: int, named: int) -> list[int]:
         """Places of the openers that are names in a form of the window."""
-        if not named:
+        if named in (0, PLAIN):
             return []
         s, e = np.searchsorted(self.openers, [start, start + size])
         return [int(x) for j, x in enumerate(self.openers[s:e]) if named < 0 or named >> j & 1]
 
-    def slots(self, start: int, size: int, first_is_name: bool = False, names: list[int] = ()) -> list[str]:
-        part = range(start, start + size)
+    def slots(self, start: int, size: int, first_is_name: bool = False, names: list[int] = (), plain: bool = False) -> list[str]:
+        part = range(start, start + size) if not plain else ()
         return [self.words.form[self.at[i]] for i in part if self.kind[i] or i in names or (first_is_name and i == 0)]
 
     def literals(self, size: int) -> np.ndarray:
@@ -192,7 +191,7 @@ BENCH = "hash long, size int, item_id long, place int, n_windows int, free boole
 DOC = "hash long, doc long, at int, slots array<string>, named boolean"
 
 
-def benchmark_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+def benchmark_windows(items: DataFrame, any_case: bool, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """A row for each form of each window of each item; capitalised words that open sentences are literals and names.
 
     A form with a name other than the first word of the item is marked, as it may fit by less than the window's words.
@@ -208,12 +207,12 @@ def benchmark_windows(items: DataFrame, id_col: str = "item_id", text_col: str =
                 if size < SHORTEST:
                     continue
                 literal = t.literals(size)
-                for at, hashes, named in t.forms(size):
+                for at, hashes, named in t.forms(size, any_case):
                     for i, h in zip(at.tolist(), hashes.tolist(), strict=True):
                         names = t.names(i, size, named)
                         free = literal[i] - len(names) >= LITERAL * size
                         marked = bool(names) and names != [0]
-                        rows.append((h, size, item.as_py(), i, len(literal), bool(free), t.slots(i, size, names=names), marked))
+                        rows.append((h, size, item.as_py(), i, len(literal), bool(free), t.slots(i, size, names=names, plain=named == PLAIN), marked))
             yield from record(rows, BENCH)
 
     return items.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, BENCH)
@@ -227,7 +226,7 @@ def record(rows: list[tuple], schema: str) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
 
-def document_windows(docs: DataFrame, sizes: list[int], wanted: np.ndarray | None, id_col: str, text_col: str) -> DataFrame:
+def document_windows(docs: DataFrame, sizes: list[int], wanted: np.ndarray | None, any_case: bool, id_col: str, text_col: str) -> DataFrame:
     """A row for each form of each window of each text, of those in `wanted` (sorted hashes) if it is given."""
     image = docs.sparkSession.sparkContext.broadcast(wanted)
 
@@ -238,12 +237,12 @@ def document_windows(docs: DataFrame, sizes: list[int], wanted: np.ndarray | Non
             for doc, text in zip(batch.column(0), batch.column(1), strict=True):
                 t = Template(words, text.as_py())
                 for size in sizes:
-                    for at, h, named in t.forms(size):
+                    for at, h, named in t.forms(size, any_case):
                         if wanted is not None:
                             met = wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h
                             at, h = at[met], h[met]
                         rows += [
-                            (x, doc.as_py(), i, t.slots(i, size, names=t.names(i, size, named)), named != 0)
+                            (x, doc.as_py(), i, t.slots(i, size, names=t.names(i, size, named), plain=named == PLAIN), named not in (0, PLAIN))
                             for i, x in zip(at.tolist(), h.tolist(), strict=True)
                         ]
                 if len(rows) > 20000:
@@ -256,16 +255,17 @@ def document_windows(docs: DataFrame, sizes: list[int], wanted: np.ndarray | Non
 
 def contaminated(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    broadcast_windows: int = BROADCAST_WINDOWS,
+    broadcast_windows: int = BROADCAST_WINDOWS, any_case: bool = False,
 ) -> DataFrame:
     """(doc_id, item_id, n_windows, n_exact, n_changed, share) for each document and item that share a window.
 
     n_windows counts places of the item that are found, n_exact those with equal slots somewhere, n_changed the others,
-    share is n_windows by the item's windows. Null texts hold nothing, rows with a null id are left out; equal rows and
+    share is n_windows by the item's windows. With any_case windows also count whose lower-cased words are equal, whatever
+    the template makes of them. Null texts hold nothing, rows with a null id are left out; equal rows and
     rows of one id count together. An empty table gives no rows. The benchmark's windows are counted, and broadcast
     up to broadcast_windows of them; beyond that all windows of the documents are joined by their hash.
     """
-    bench = benchmark_windows(items.where("item_id is not null")).distinct()
+    bench = benchmark_windows(items.where("item_id is not null"), any_case).distinct()
     sizes = sorted(r["size"] for r in bench.select("size").distinct().collect())
     hashes = bench.select("hash").distinct()
     docs = docs.where(F.col(id_col).isNotNull())
@@ -274,7 +274,7 @@ def contaminated(
         wanted = np.sort(hashes.toArrow().column(0).to_numpy())
         if not len(wanted):
             wanted, sizes = None, []
-    found = document_windows(docs, sizes, wanted, id_col, text_col)
+    found = document_windows(docs, sizes, wanted, any_case, id_col, text_col)
     pairs = found.join(small_enough(bench, broadcast_windows), "hash")
     equal = F.col("item_slots") == F.col("slots")
     windows = pairs.where(F.col("free") | equal).select(

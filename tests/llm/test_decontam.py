@@ -82,3 +82,12 @@ def test_names_that_open_sentences_may_be_exchanged(spark):
     d, b = frames(spark, [(1, copy), (2, "Well: " + copy), (3, mixed), (4, item)], [(1, item)])
     found = got(D.contaminated(d, b))
     assert found[(1, 1)] == found[(2, 1)] == (6, 0) and found[(4, 1)] == (6, 6) and (3, 1) not in found
+
+
+def test_copies_in_other_case_are_found(spark):
+    item = "Natalia sold clips to 48 of her friends in April, and then she sold half as many clips in May."
+    german = "Der Bauer verkauft auf dem Markt 12 Kisten mit Birnen und fährt mit seinem Wagen nach Hause."
+    docs = [(1, item.lower()), (2, "So. " + item.upper()), (3, item), (4, german.lower()), (5, item.replace("April,", "April."))]
+    found = got(D.contaminated(*frames(spark, docs, [(1, item), (2, german)]), any_case=True))
+    all_places = {i: len(x.split()) - D.WINDOW + 1 for i, x in ((1, item), (2, german))}
+    assert found == {(d, i): (all_places[i],) * 2 for d, i in ((1, 1), (2, 1), (3, 1), (4, 2), (5, 1))}
