@@ -36,7 +36,37 @@ REMEMBERED = 800_000
 
 NUMBER = re.compile(r"[+-]?[$€£]?[0-9][0-9.,:/]*(?:e[+-]?[0-9]+)?%?")
 NUMBER_WITH_UNIT = re.compile(r"([+-]?[$€£]?[0-9][0-9.,]*)([a-zµ°%]{1,4})")
-NUMBER_WORDS = frozenset("two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand million".split())
+
+
+def number_words() -> frozenset[str]:
+    """Number words of the tables' languages, without those for one, which are articles too.
+
+    Tens and ones have a hyphen in English and French; German joins them, as Spanish does up to 29.
+    """
+    ones = "one two three four five six seven eight nine".split()
+    tens = "twenty thirty forty fifty sixty seventy eighty ninety".split()
+    english = "zero ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen hundred thousand million billion".split()
+    found = {*ones[1:], *tens, *english, *(f"{t}-{o}" for t in tens for o in ones)}
+    ones = "ein zwei drei vier fünf sechs sieben acht neun".split()
+    tens = "zwanzig dreißig dreissig vierzig fünfzig sechzig siebzig achtzig neunzig".split()
+    found |= {*ones[1:], *tens, *(f"{o}und{t}" for t in tens for o in ones)}
+    found |= set("null zehn elf zwölf dreizehn vierzehn fünfzehn sechzehn siebzehn achtzehn neunzehn hundert einhundert tausend eintausend million millionen milliarde milliarden".split())
+    found |= {f"{o}{x}" for o in ones[1:] for x in ("hundert", "tausend")}
+    ones = "deux trois quatre cinq six sept huit neuf".split()
+    teens = "dix onze douze treize quatorze quinze seize dix-sept dix-huit dix-neuf".split()
+    tens = "vingt trente quarante cinquante soixante septante huitante octante nonante".split()
+    found |= {*ones, *teens, *tens, *(f"{t}-{o}" for t in tens for o in ones), *(f"{t}-et-un" for t in tens), *(f"{t}-et-une" for t in tens)}
+    found |= {*(f"soixante-{t}" for t in teens), "soixante-et-onze", "quatre-vingt", "quatre-vingts", "quatre-vingt-un", "quatre-vingt-une"}
+    found |= {f"quatre-vingt-{x}" for x in ones + teens}
+    found |= set("zéro cent cents mille million millions milliard milliards".split())
+    ones = "dos tres cuatro cinco seis siete ocho nueve".split()
+    found |= {*ones, *set("cero diez once doce trece catorce quince dieciséis diecisiete dieciocho diecinueve veinte".split())}
+    found |= set("veintiún veintiuno veintiuna veintidós veintitrés veinticuatro veinticinco veintiséis veintisiete veintiocho veintinueve".split())
+    found |= set("treinta cuarenta cincuenta sesenta setenta ochenta noventa cien ciento mil millón millones".split())
+    return frozenset(found | {f"{x}ientos" for x in ("dosc", "tresc", "cuatroc", "seisc", "ochoc")} | {"quinientos", "setecientos", "novecientos"})
+
+
+NUMBER_WORDS = number_words()
 UNITS = frozenset(
     "mm cm m km in ft yd mi inch inches foot feet mile miles meter meters metre metres mg g kg lb lbs oz gram grams kilogram "
     "kilograms pound pounds ounce ounces ml l liter liters litre litres gallon gallons s sec ms second seconds min minute minutes h hr hour "
@@ -105,7 +135,8 @@ class Template:
         at, trait, first, self.literal = at[keep], trait[keep], first[keep], literal[keep]
         self.kind = np.where(trait & IS_NUMBER > 0, NUM, 0)
         after_number = np.concatenate([[False], self.kind[:-1] == NUM]) if len(at) else first
-        self.kind = np.where((self.kind == 0) & (trait & IS_UNIT > 0) & after_number, UNIT, self.kind)
+        # A unit after a number is one even if it is a number word, as cent is.
+        self.kind = np.where((trait & IS_UNIT > 0) & after_number, UNIT, self.kind)
         self.kind = np.where((self.kind == 0) & (trait & IS_CAPITAL > 0) & ~first, NAME, self.kind)
         self.at, self.words = at, words
         self.openers = np.flatnonzero((self.kind == 0) & (trait & IS_CAPITAL > 0))
@@ -262,7 +293,7 @@ def contaminated(
     n_windows counts places of the item that are found, n_exact those with equal slots somewhere, n_changed the others,
     share is n_windows by the item's windows. With any_case windows also count whose lower-cased words are equal, whatever
     the template makes of them. Null texts hold nothing, rows with a null id are left out; equal rows and
-    rows of one id count together. An empty table gives no rows. The benchmark's windows are counted, and broadcast
+    rows of one id count together. Items of fewer than SHORTEST words are left out. An empty table gives no rows. The benchmark's windows are counted, and broadcast
     up to broadcast_windows of them; beyond that all windows of the documents are joined by their hash.
     """
     bench = benchmark_windows(items.where("item_id is not null"), any_case).distinct()

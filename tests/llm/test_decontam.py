@@ -91,3 +91,18 @@ def test_copies_in_other_case_are_found(spark):
     found = got(D.contaminated(*frames(spark, docs, [(1, item), (2, german)]), any_case=True))
     all_places = {i: len(x.split()) - D.WINDOW + 1 for i, x in ((1, item), (2, german))}
     assert found == {(d, i): (all_places[i],) * 2 for d, i in ((1, 1), (2, 1), (3, 1), (4, 2), (5, 1))}
+
+
+def test_number_words_of_four_languages(spark):
+    texts = {
+        "A farmer packs {} eggs in each box and sells them at the market for money.": ("twelve", "fifteen", "ninety-one", "7"),
+        "ein bauer packt immer {} eier in jede schachtel und verkauft sie dann auf dem markt.": ("zwölf", "siebzehn", "einundachtzig", "7"),
+        "le fermier met toujours {} oeufs dans chaque boîte et les vend ensuite au marché.": ("douze", "seize", "quatre-vingt-dix-sept", "cent"),
+        "el granjero pone siempre {} huevos en cada caja y luego los vende en el mercado.": ("doce", "quince", "veintidós", "mil"),
+    }
+    items = [(i, t.format(w[0])) for i, (t, w) in enumerate(texts.items())]
+    docs = [(10 * i + k, t.format(w)) for i, (t, ws) in enumerate(texts.items()) for k, w in enumerate(ws)]
+    found = got(D.contaminated(*frames(spark, docs, items)))
+    for i, (_, text) in enumerate(items):
+        n = len(text.split()) - D.WINDOW + 1
+        assert [found.get((10 * i + k, i), (0,))[0] for k in range(4)] == [n] * 4, text
