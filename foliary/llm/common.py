@@ -70,16 +70,17 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def rough_sample(df: DataFrame, key: str, rows: int, salt: str) -> DataFrame:
-    """About `rows` rows of df, chosen by a hash of key: all of df if it has no more than that.
+def rough_sample(df: DataFrame, keys: list[str], rows: int, salt: str) -> DataFrame:
+    """About `rows` rows of df, chosen by a hash of keys: all of df if it has no more than that.
 
-    df is read twice, the first time for key alone.
+    Rows that are equal in keys come or stay away together, so with many of them there may be more rows or fewer: a
+    caller that collects the sample limits it. df is read twice, the first time without the columns it can do without.
     """
-    n = df.select(key).count()
+    n = df.count()
     if n <= rows:
         return df
     cut = int((1 << 30) * rows / n)
-    return df.where(F.coalesce(F.pmod(F.xxhash64(F.lit(salt), F.col(key)), F.lit(1 << 30)) < cut, F.lit(False)))
+    return df.where(F.pmod(F.xxhash64(F.lit(salt), *keys), F.lit(1 << 30)) < cut)
 
 
 def complete_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 20000) -> Iterator[pa.Table]:

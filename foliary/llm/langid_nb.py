@@ -151,4 +151,4 @@ def has_letter(text: str) -> bool:
 
 
 def fit_on_training_rows(docs: DataFrame, rows: int = FIT_ROWS) -> Model:
-    return fit(rough_sample(docs.where(is_training()).where("lang is not null"), "doc_id", rows, "langid"))
+    return fit(rough_sample(docs.where(is_training()).where("lang is not null"), ["doc_id", "text"], rows, "langid"))
