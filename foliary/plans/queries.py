@@ -63,9 +63,7 @@ WORDS = f"""{LINES}, parts AS (
 
 def doc_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, line_idx, words) with the words of each line."""
-    # The characters are a column of their own: they are used many times, and would be made anew each time.
-    chars = doc_lines(spark, sf_dir).select("doc_id", "line_idx", T.char_boxes(F.col("line")).alias("chars"))
-    return chars.select("doc_id", "line_idx", T.words_of(F.col("chars")).alias("words"))
+    return doc_lines(spark, sf_dir).select("doc_id", "line_idx", T.line_words(F.col("line")).alias("words"))
 
 
 def each_word(words: DataFrame, item) -> DataFrame:
@@ -129,7 +127,7 @@ def q03_words(spark, sf_dir):
 def q04_document_tree(spark, sf_dir):
     docs = load(spark, sf_dir, "documents").select("doc_id")
     lines = doc_words(spark, sf_dir).select(
-        "doc_id", "line_idx", F.struct(F.array_join(F.transform("words", lambda w: w["text"]), " ").alias("text"), F.transform("words", lambda w: w.dropFields("chars")).alias("words")).alias("line")
+        "doc_id", "line_idx", F.struct(F.array_join(F.transform("words", lambda w: w["text"]), " ").alias("text"), F.col("words")).alias("line")
     )
     pages = lines.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_idx", "line"))).alias("ls"))
     tree = docs.join(pages, "doc_id", "left").select(
@@ -484,7 +482,7 @@ def q33_greyscale_one_channel(spark, sf_dir):
 @query("""SELECT s.r AS "row", CAST(s.r * 25 + 30 AS INTEGER) AS top, c.c AS "column", CAST(c.c * 70 AS INTEGER) AS "left", CAST(s.r * 25 + 50 AS INTEGER) AS bottom, CAST(c.c * 70 + 50 AS INTEGER) AS "right"
     FROM (SELECT DISTINCT n_regionkey AS r FROM nation) s CROSS JOIN (SELECT n_nationkey AS c FROM nation) c""")
 def q34_rect_grid(spark, sf_dir):
-    rows = load(spark, sf_dir, "nation").select(F.max("n_regionkey").over(Window.partitionBy(F.lit(1))).alias("r"), F.max("n_nationkey").over(Window.partitionBy(F.lit(1))).alias("c")).limit(1)
+    rows = load(spark, sf_dir, "nation").agg(F.max("n_regionkey").alias("r"), F.max("n_nationkey").alias("c"))
     grid = rows.select(F.explode(F.sequence(F.lit(0), F.col("r"))).alias("row"), "c").select("row", F.explode(F.sequence(F.lit(0), F.col("c"))).alias("column"))
     top, left = F.col("row") * 25 + 30, F.col("column") * 70
     return grid.select("row", "column", top.alias("top"), left.alias("left"), (top + 20).alias("bottom"), (left + 50).alias("right"))

@@ -44,6 +44,16 @@ def test_words_are_parted_by_spaces_alone(spark):
     assert [[(w["text"], w["rect"]["left"]) for w in r["w"]] for r in rows] == [[("foo", 0), ("bar", 40), ("baz", 90)], [("a\tb", 0), ("c", 40)], [], []]
 
 
+def test_words_of_lines_are_those_of_their_characters(spark):
+    lines = [None, "", " ", "  a  b", "é中 x ", "word", "a " * 600 + "end", "tab\tstays one"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, line string")
+    kept = F.transform(T.words_of(T.char_boxes(F.col("line"))), lambda w: w.dropFields("chars"))
+    rows = df.select("i", "line", T.line_words("line").alias("fast"), kept.alias("plain")).collect()
+    assert all(r["fast"] == r["plain"] for r in rows if r["line"] is not None)
+    assert [r["fast"] for r in rows if r["line"] is None] == [None]
+    assert df.limit(0).select(T.line_words("line")).count() == 0
+
+
 def test_column_forms(spark):
     def one(c):
         return spark.range(1).select(c.alias("x")).first()["x"]
