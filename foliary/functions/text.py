@@ -7,6 +7,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 #: Size of a character's box on the grid that plain text is laid out on.
 CHAR_WIDTH, CHAR_HEIGHT = 10, 25
@@ -60,7 +61,11 @@ def words_of(chars: Column) -> Column:
     return F.transform(spans, word)
 
 
-@F.arrow_udf("array<struct<text:string,rect:struct<top:int,left:int,bottom:int,right:int>>>")
+RECT = StructType([StructField(side, IntegerType()) for side in ("top", "left", "bottom", "right")])
+WORDS = ArrayType(StructType([StructField("text", StringType()), StructField("rect", RECT)]))
+
+
+@F.arrow_udf(WORDS)
 def line_words(lines: pa.Array) -> pa.Array:
     """Words of each line on the grid, as words_of its char_boxes but without making the characters.
 
