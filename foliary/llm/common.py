@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MASK64 = (1 << 64) - 1
@@ -53,6 +53,65 @@ class Workspace:
             path.getFileSystem(conf).delete(path, True)
 
 
+#: A key that more than one row in HEAVY has is joined by broadcast: there are fewer than HEAVY such keys in any table.
+HEAVY = 1000
+#: Bits of a sieve: it is broadcast as 2^19 rows of two numbers at most, some 30 MB, whatever the tables hold.
+SIEVE_BITS = 1 << 25
+
+
+def join_heavy(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """rows joined (inner or left) with table on keys, without a task that gets all rows of a frequent key.
+
+    table is written, has one row for each key, and in column n how many of rows have the key; n is left out of the
+    result. Keys with more than one row in HEAVY, fewer than HEAVY as their numbers add up to that of all rows, are
+    broadcast; the others meet in a shuffle.
+    """
+    total = table.agg(F.sum("n")).first()[0] or 0
+    often = F.col("n") > total / HEAVY
+    heavy, light = F.broadcast(table.where(often).drop("n")), table.where(~often).drop("n")
+    if not heavy.take(1):
+        return rows.join(light, keys, how)
+    rest = rows.join(heavy.select(*keys), keys, "left_anti").join(light, keys, how)
+    return rows.join(heavy, keys).unionByName(rest)
+
+
+def sieve(table: DataFrame, keys: list[str]) -> DataFrame:
+    """The keys of table as (_word, _bits): a bit array of fixed size, made and read without any Python."""
+    place = F.pmod(F.xxhash64(F.lit("sieve"), *keys), F.lit(SIEVE_BITS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
+    return table.select(F.shiftright(place, 6).alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+
+
+def sift(rows: DataFrame, bits: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with a column _maybe: false where the keys are surely not in the table that bits (a written sieve) is of.
+
+    What the sieve lets through in vain is a share of some table rows / SIEVE_BITS: it spares a shuffle of the others, and
+    all that depends on the rows is found by the join that follows.
+    """
+    place = F.pmod(F.xxhash64(F.lit("sieve"), *keys), F.lit(SIEVE_BITS))
+    met = rows.withColumn("_place", place).withColumn("_word", F.shiftright("_place", 6)).join(F.broadcast(bits), "_word", "left")
+    set_ = F.call_function("getbit", F.coalesce("_bits", F.lit(0).cast("long")), F.col("_place").bitwiseAND(F.lit(63)).cast("int")) == 1
+    return met.withColumn("_maybe", set_).drop("_place", "_word", "_bits")
+
+
+def fetch(rows: DataFrame, table: DataFrame, keys: list[str], work: Workspace, tag: str) -> DataFrame:
+    """rows joined with table on keys (see join_heavy), where few of rows are expected to have a key of table."""
+    bits = work.write(sieve(table, keys), f"{tag}-sieve")
+    return join_heavy(sift(rows, bits, keys).where("_maybe").drop("_maybe"), table, keys)
+
+
+def without(docs: DataFrame, keys: dict[str, Column], gone: DataFrame, work: Workspace) -> DataFrame:
+    """docs without the rows whose keys (expressions by name) are in gone, a written table of these names; nulls stay.
+
+    All columns stay, whatever their names. Only rows that a sieve doesn't clear are shuffled.
+    """
+    # As one column, so that no name of docs can clash.
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), *[e.alias(k) for k, e in keys.items()])
+    sifted = sift(rows, work.write(sieve(gone, list(keys)), "gone-sieve"), list(keys))
+    left = sifted.where("_maybe").join(gone.select(*keys), list(keys), "left_anti")
+    return sifted.where("not _maybe").select("row.*").unionByName(left.select("row.*"))
+
+
 def small_enough(df: DataFrame, max_rows: int) -> DataFrame:
     """df with a broadcast hint if it holds max_rows rows at most, else as it is.
 
@@ -83,6 +142,21 @@ def rough_sample(df: DataFrame, keys: list[str], rows: int, salt: str) -> DataFr
     return df.where(F.pmod(F.xxhash64(F.lit(salt), *keys), F.lit(1 << 30)) < cut)
 
 
+def text_groups(texts: pa.Array, size: int = 1 << 20) -> Iterator[list[str | None]]:
+    """Consecutive texts of about `size` characters together, a longer one alone."""
+    group: list[str | None] = []
+    total = 0
+    for x in texts:
+        text = x.as_py()
+        group.append(text)
+        total += len(text or "")
+        if total >= size:
+            yield group
+            group, total = [], 0
+    if group:
+        yield group
+
+
 def complete_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 20000) -> Iterator[pa.Table]:
     """Tables of whole groups from a stream sorted by keys, each of about `rows` rows or one group."""
     held: list[pa.RecordBatch] = []

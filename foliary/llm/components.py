@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliary.llm.common import Workspace
+from foliary.llm.common import Workspace, join_heavy
 
 #: Edges held at once when a task joins the edges it reads.
 CHUNK = 400_000
@@ -59,8 +59,8 @@ def connected_components(edges: DataFrame, work: Workspace, tag: str = "cc") ->
     """(node, component) for each node of edges (a long, b long); component is the smallest node reachable.
 
     Repeated edges and loops do no harm; rows with a null end are left out. Nodes without an edge to another node
-    get no row. Each round joins on nodes, so a hub is a skewed join, which adaptive execution splits; the
-    least neighbour is a partial aggregate.
+    get no row. The least neighbour is a partial aggregate, and hubs are joined by join_heavy, so no task gets all edges
+    of a hub.
     """
     clean = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a is not null and b is not null and a <> b")
     now = work.write(clean.mapInArrow(_shrink, "a long, b long").distinct(), f"{tag}-0")
@@ -68,18 +68,19 @@ def connected_components(edges: DataFrame, work: Workspace, tag: str = "cc") ->
     step = 0
     while mark[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"), F.count(F.lit(1)).alias("n"))
+        least = work.write(least, f"{tag}-least-{step}")
+        large = join_heavy(both, least, ["a"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = work.write(large, f"{tag}-large-{step}")
-        root = large.groupBy("a").agg(F.min("b").alias("m"))
+        root = work.write(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")), f"{tag}-root-{step}")
         small = (
-            large.join(root, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+            join_heavy(large, root, ["a"]).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
             .unionByName(root.select("a", F.col("m").alias("b")))
             .distinct()
         )
         step += 1
         now = work.write(small, f"{tag}-{step}")
-        work.drop(f"{tag}-{step - 1}", f"{tag}-large-{step - 1}")
+        work.drop(*[f"{tag}-{x}{step - 1}" for x in ("", "least-", "large-", "root-")])
         before, mark = mark, _mark(now)
         if mark == before:
             break

@@ -2,7 +2,8 @@
 
 A delta row adds (sign 1) or takes away (sign -1) one document's tokens under one tokenizer version; a revised count is
 the old row taken away and the new one added. A batch is summed up by source, language and tokenizer version, which
-partial aggregation does before its only shuffle, and committed under its id by one rename: a batch that was committed
+partial aggregation does before its only shuffle, and committed under its id by one rename, which HDFS and local disks
+do at once (an object store does not; give it a folder on one that does): a batch that was committed
 before, by this run or one that was thought lost, has no effect. Totals are the sums over committed batches, so they
 never need the documents again.
 """
@@ -17,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliary.llm.common import Workspace, join_heavy
+
 KEYS = ["source", "lang", "tokenizer"]
 SUMS = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
 DELTA = "doc_id long, source string, lang string, tokenizer string, n_tokens long, sign int"
@@ -90,8 +93,9 @@ def revisions(old: DataFrame, new: DataFrame) -> DataFrame:
 def measure(docs: DataFrame, counters: Callable[[], dict[str, Callable[[str], int]]], names: list[str]) -> DataFrame:
     """docs (doc_id, source, lang, text) with a column of counts for each counter in place of the text.
 
-    counters is called once for each task and makes the functions there. A null text counts as an empty one. Two hashes
-    of the text, text_a and text_b, tell equal texts; null texts are equal to each other alone.
+    counters is called once for each task and makes the functions there. A null text counts as an empty one; very long
+    ones are counted whole. Two hashes of the text, text_a and text_b, tell equal texts; null texts are equal to each other
+    alone. Repeated rows give repeated rows, an empty table none; other columns of docs are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,7 +116,12 @@ def measure(docs: DataFrame, counters: Callable[[], dict[str, Callable[[str], in
     return rows.mapInArrow(run, schema)
 
 
-def later_copies(counts: DataFrame) -> DataFrame:
-    """The rows of counts whose text an earlier document, by id, has; a null id is never a copy."""
-    first = counts.groupBy("text_a", "text_b").agg(F.min("doc_id").alias("first"))
-    return counts.join(first, ["text_a", "text_b"]).where("doc_id > first").drop("first")
+def later_copies(counts: DataFrame, work: Workspace) -> DataFrame:
+    """The rows of counts, a written table, whose text an earlier document, by id, has; a null id is never a copy.
+
+    Of rows with one id and text none is a copy of another. Null texts are copies of each other, not of empty ones. Only
+    texts that several rows have are joined, and of these a very frequent one by broadcast. Other columns stay.
+    """
+    groups = counts.groupBy("text_a", "text_b").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    groups = work.write(groups, "texts")
+    return join_heavy(counts, groups, ["text_a", "text_b"]).where("doc_id > first").drop("first")

@@ -19,12 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliary.llm.common import Workspace
+from foliary.llm.common import Workspace, fetch, join_heavy
 
 GRAIN = 1 << 20
 
 
-def quotas(wish: np.ndarray, now: np.ndarray, capacity: float) -> np.ndarray:
+def quotas(wish: np.ndarray, now: np.ndarray, capacity: float | np.ndarray) -> np.ndarray:
     """The share of the requests wish[from, to] that is granted, by target: rooms are filled, and what leaves makes room.
 
     A shard's room counts only departures that are granted themselves, so the shares are lowered until all hold.
@@ -41,10 +41,10 @@ def quotas(wish: np.ndarray, now: np.ndarray, capacity: float) -> np.ndarray:
     return np.clip(share, 0, 1)
 
 
-def propagate(rows: DataFrame, shards: int, capacity: float, work: Workspace, rounds: int) -> DataFrame:
+def propagate(rows: DataFrame, shards: int, capacity: float | np.ndarray, work: Workspace, rounds: int) -> DataFrame:
     """rows (id, link, shard) of linked documents, with shard after some rounds; the table is written each round.
 
-    capacity: linked rows that a shard may hold. Rows without links make way, so it is a shard's share of all rows.
+    capacity: linked rows that a shard, or each of them, may hold. Rows without links make way. It goes on until no request is made or granted, and for `rounds` rounds at most.
     """
     now = rows
     for step in range(rounds):
@@ -52,6 +52,7 @@ def propagate(rows: DataFrame, shards: int, capacity: float, work: Workspace, ro
         held = now.groupBy("link", "shard").agg(F.count(F.lit(1)).alias("n"))
         rank = F.struct("n", F.xxhash64("link", "shard"), "shard")
         best = held.groupBy("link").agg(F.max(rank).alias("best")).select("link", F.col("best.shard").alias("target"))
+        # A link has a row in held for each shard at most.
         moves = work.write(held.join(best, "link"), f"moves-{step}")
         counts = moves.groupBy("shard", "target").agg(F.sum("n").alias("n")).collect()
         wish = np.zeros((shards, shards))
@@ -64,10 +65,13 @@ def propagate(rows: DataFrame, shards: int, capacity: float, work: Workspace, ro
         share = quotas(wish, here, capacity)
         cut = F.element_at(F.array(*[F.lit(int(s * GRAIN)) for s in share]), F.col("target") + 1)
         granted = F.pmod(F.xxhash64(F.lit(step), "link"), F.lit(GRAIN)) < cut
-        going = moves.where(F.col("shard") != F.col("target")).where(granted).select("link", "shard", "target")
-        moved = now.join(going, ["link", "shard"], "left").select("id", "link", F.coalesce("target", "shard").alias("shard"))
-        now = work.write(moved, f"round-{step}")
-        work.drop(f"moves-{step}", f"round-{step - 1}")
+        going = work.write(moves.where(F.col("shard") != F.col("target")).where(granted).select("link", "shard", "target", "n"), f"going-{step}")
+        stuck = going.isEmpty()
+        moved = join_heavy(now, going, ["link", "shard"], "left").select("id", "link", F.coalesce("target", "shard").alias("shard"))
+        now = work.write(moved, f"round-{step}") if not stuck else now
+        work.drop(f"moves-{step}", f"going-{step}", *[f"round-{step - 1}"] * (not stuck))
+        if stuck:
+            break
     return now
 
 
@@ -136,12 +140,14 @@ def settle(placed: DataFrame, total: list[int]) -> DataFrame:
     )
 
 
-def shard_documents(docs: DataFrame, shards: int = 8, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 8, rounds: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, size, crc, shard, slot) for each row: equal texts together where room allows, row counts one apart at most.
 
     size is the text's UTF-8 bytes plus one, crc its CRC-32; a null text has the size 1 and the crc of nothing, and null
     texts are linked with each other, not with empty ones. Slots are gapless from 0 in each shard. Rows with equal ids
-    and texts are told apart by nothing, so any of them may have either place. An empty table gives no rows.
+    and texts are told apart by nothing, so any of them may have either place. A text with more rows than a shard has
+    fills as many shards as it needs. Very long texts count by their size like any other; other columns, whatever their names, are
+    not read. An empty table gives no rows.
     """
     work = Workspace(docs.sparkSession, "shards")
     text = F.col(text_col).cast("string")
@@ -155,9 +161,21 @@ def shard_documents(docs: DataFrame, shards: int = 8, rounds: int = 3, id_col: s
     )
     rows = rows.withColumn("shard", F.pmod(F.xxhash64(F.lit("shard"), "id", "link"), F.lit(shards)).cast("int"))
     rows = work.write(rows.withColumn("tie", F.monotonically_increasing_id()), "rows")
-    shared = work.write(rows.groupBy("link").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("link"), "shared")
-    linked = work.write(rows.join(shared, "link").select("tie", "link", "shard"), "linked")
-    moved = propagate(linked.select(F.col("tie").alias("id"), "link", "shard"), shards, rows.count() / shards, work, rounds)
+    shared = work.write(rows.groupBy("link").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
+    share = rows.count() / shards
+    linked = work.write(fetch(rows, shared, ["link"], work, "linked").select("tie", "link", "shard"), "linked")
+    # Texts that no shard can hold whole, fewer than shards of them, fill some shards and don't compete for room.
+    spot, taken = F.lit(None).cast("int"), np.zeros(shards)
+    large = shared.where(F.col("n") > share).orderBy(F.desc("n"), "link").collect()
+    for r in large:
+        home = np.argsort(taken, kind="stable")[: int(np.ceil(r["n"] / share))]
+        taken[home] += r["n"] / len(home)
+        dealt = F.pmod(F.xxhash64(F.lit("large"), "tie"), F.lit(len(home))).cast("int")
+        spot = F.when(F.col("link") == r["link"], F.get(F.array(*map(F.lit, home.tolist())), dealt).cast("int")).otherwise(spot)
+    placed = linked.withColumn("spot", spot)
+    going = placed.where("spot is null").select(F.col("tie").alias("id"), "link", "shard")
+    moved = propagate(going, shards, np.maximum(0, share - taken), work, rounds)
+    moved = moved.unionByName(placed.where("spot is not null").select(F.col("tie").alias("id"), "link", F.col("spot").alias("shard")))
     moved = moved.select(F.col("id").alias("tie"), F.col("link").alias("of"), F.col("shard").alias("to"))
     joined = rows.drop("link").join(moved, "tie", "left").withColumn("shard", F.coalesce("to", "shard")).withColumnRenamed("of", "link").drop("to")
     placed, total = ranked(joined.select("id", "size", "crc", "link", "shard", "tie"), shards, work)

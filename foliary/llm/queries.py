@@ -102,7 +102,7 @@ def op8_token_count_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
         return rows.select("doc_id", "source", "lang", F.lit(tokenizer).alias("tokenizer"), F.col(column).alias("n_tokens"))
 
     bpe, words, revised = ("byte_bpe_50k/1", "bpe"), ("words/1", "words"), ("words/1", "revised")
-    changed, gone = counts.where("words <> revised"), delta_rollup.later_copies(counts)
+    changed, gone = counts.where("words <> revised"), delta_rollup.later_copies(counts, work)
     store = delta_rollup.DeltaStore(spark, f"{work.root}/store")
     store.commit("load", delta_rollup.inserts(under(counts, *bpe).unionByName(under(counts, *words))))
     for _ in range(2):

@@ -17,13 +17,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliary.llm.common import Workspace, complete_groups, deal_tiles, group_starts, label_components, small_enough
+from foliary.llm.common import Workspace, complete_groups, deal_tiles, fetch, group_starts, join_heavy, label_components, without
 from foliary.llm.components import connected_components
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 SEED = 42
-#: Rows of a few numbers that are broadcast at most, some 20 MB; a larger table is joined by a shuffle.
-BROADCAST_ROWS = 500_000
 #: Rows of a block when a bucket is too large for one task.
 BLOCK = 512
 #: Shingles hashed at once, so that a very long text takes bounded memory.
@@ -127,8 +125,8 @@ def near_edges(prints: DataFrame, radius: int, work: Workspace, tag: str = "cove
     )
     buckets = work.write(buckets, f"{tag}-buckets")
     twos = buckets.where("n = 2").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius).select("a", "b")
-    large = small_enough(buckets.where("n > 2").select("bucket", "n"), BROADCAST_ROWS)
-    more = deal_tiles(dealt.join(large, "bucket"), "bucket", "n", "fp", BLOCK)
+    large = buckets.where("n > 2").select("bucket", "n", F.col("n").alias("size"))
+    more = deal_tiles(fetch(dealt, large, ["bucket"], work, tag), "bucket", "size", "fp", BLOCK)
     keys = ["bucket", "tile_i", "tile_j"]
     met = (
         more.select(*keys, "fp").repartition(*keys).sortWithinPartitions(*keys)
@@ -143,24 +141,23 @@ def group_prints(prints: DataFrame, radius: int, work: Workspace) -> DataFrame:
     Equal fingerprints are one class, so a large group of copies counts once. Rows with a null id get a null
     component of their own and link nothing.
     """
-    classes = prints.where("id is not null").groupBy("fp").agg(F.min("id").alias("least"))
+    classes = prints.where("id is not null").groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"))
     classes = work.write(classes, "classes")
     found = connected_components(near_edges(classes.select("fp"), radius, work), work)
     linked = found.join(classes, found["node"] == classes["fp"]).select("fp", "component", "least")
     linked = work.write(linked, "linked")
-    roots = linked.groupBy("component").agg(F.min("least").alias("root"))
-    named = linked.join(roots, "component").select("fp", "root")
-    named = classes.join(named, "fp", "left").select(F.col("fp").alias("_fp"), F.coalesce("root", "least").alias("_root"))
-    return prints.join(named, prints["fp"] == named["_fp"], "left").select(
-        "id", "fp", F.when(F.col("id").isNotNull(), F.col("_root")).alias("component")
-    )
+    roots = work.write(linked.groupBy("component").agg(F.min("least").alias("root"), F.count(F.lit(1)).alias("n")), "roots")
+    named = join_heavy(linked, roots, ["component"]).select("fp", "root")
+    named = work.write(classes.join(named, "fp", "left").select("fp", "n", F.coalesce("root", "least").alias("root")), "named")
+    joined = join_heavy(prints, named, ["fp"], "left")
+    return joined.select("id", "fp", F.when(F.col("id").isNotNull(), F.col("root")).alias("component"))
 
 
 def simhash_groups(docs: DataFrame, width: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp, component) for each row of docs; other columns, whatever their names, are not read.
 
-    Null and empty texts have the fingerprint 0 and link like any other. Repeated ids give repeated rows. An empty
-    table gives no rows.
+    Null and empty texts have the fingerprint 0 and link like any other. Repeated ids give repeated rows. Very long texts
+    are hashed whole, in slices. An empty table gives no rows.
     """
     work = Workspace(docs.sparkSession, "simhash")
     prints = work.write(fingerprints(docs, width, id_col, text_col), "prints")
@@ -168,17 +165,19 @@ def simhash_groups(docs: DataFrame, width: int = 4, radius: int = 4, id_col: str
 
 
 #: Seeds of the word fingerprints, the first source of candidates. Words change less than shingles do: where few words in
-#: a hundred, scattered over the text, differ, word fingerprints are mostly within the radius, and one of four independent
-#: ones nearly always is; where a block was added, cut or replaced, often none is. The weight is the root of a word's number: with
-#: the number itself, long texts of one language, which share its most frequent words, would all be candidates.
-WORD_SEEDS = (11, 12, 13, 14)
+#: a hundred, scattered over the text, differ, word fingerprints are mostly within the radius; where a block was added, cut or
+#: replaced, often not. The weight is the root of a word's number: with the number itself, long texts of one language, which
+#: share its most frequent words, would all be candidates.
+WORD_SEEDS = (11, 12)
 #: MinHash bands, the second source of candidates, and rows of a band. The chance that two texts share a band follows from
 #: the likeness s of their shingle sets alone, 1 - (1 - s^8)^40: 0.9993 at 0.8, 0.9999993 at 0.85; wherever the texts differ.
 BANDS, BAND_ROWS = 40, 8
 #: Shingles whose values under all functions are held at once.
 HASHED = 1024
-#: Documents of a block when a cluster is checked.
-CHECKED = 256
+#: Documents of a block when all pairs of a group are checked; copies that are checked against one document at once.
+CHECKED, LEAVES = 512, 256
+#: Rounds in which each key's documents are checked against one of them, before pairs that are left are checked.
+STAR_ROUNDS = 2
 
 
 def word_fingerprint(counts: dict[bytes, int], seed: int) -> int:
@@ -215,18 +214,6 @@ def band_keys(hashes: Iterator[np.ndarray]) -> np.ndarray:
     return (key ^ (key >> np.uint64(32))).view(np.int64)
 
 
-def band_edges(held: DataFrame, work: Workspace) -> DataFrame:
-    """Edges (a, b) of classes with the components of all that share a key; held: (class, key).
-
-    A key's classes are never brought together: each has an edge to the least of them.
-    """
-    keys = held.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("a"), F.max("class").alias("b"))
-    keys = work.write(keys.where("n > 1"), "bands")
-    large = small_enough(keys.where("n > 2").select("key", "a"), BROADCAST_ROWS)
-    more = held.join(large, "key").select("a", F.col("class").alias("b"))
-    return keys.where("n = 2").select("a", "b").unionByName(more)
-
-
 def alike(sets: list[np.ndarray], share: tuple[int, int]) -> np.ndarray:
     """For sets of sorted distinct numbers: is intersection / union at least share; empty sets are alike."""
     size = np.array([len(x) for x in sets])
@@ -248,37 +235,155 @@ def alike(sets: list[np.ndarray], share: tuple[int, int]) -> np.ndarray:
     return share[1] * shared >= share[0] * union
 
 
+def resembles(one: np.ndarray, others: list[np.ndarray], share: tuple[int, int]) -> np.ndarray:
+    """For a set of sorted distinct numbers and others: is intersection / union at least share; empty sets are alike."""
+    size = np.array([len(x) for x in others])
+    flat = np.concatenate([*others, np.zeros(0, np.uint32)])
+    met = one[np.minimum(np.searchsorted(one, flat), len(one) - 1)] == flat if len(one) else np.zeros(len(flat), bool)
+    total = np.concatenate([[0], np.cumsum(met)])
+    end = np.cumsum(size)
+    shared = total[end] - total[end - size]
+    return share[1] * shared >= share[0] * (len(one) + size - shared)
+
+
+def _sets(table: pa.Table, s: int, e: int) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_py(), np.uint32) for x in table.column("shingles").slice(s, e - s)]
+
+
+def _edges(a: list[np.ndarray], b: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    if a:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (a, b)], names=["a", "b"])
+
+
 def _verified_stars(share: tuple[int, int]):
-    keys = ["cluster", "tile_i", "tile_j"]
+    """Of cells of a centre and some leaves, with their sets: an edge for each leaf that is alike to the centre."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = ["centre", "cell"]
+        for table in complete_groups(batches, keys, rows=LEAVES):
+            ids, centre = table.column("class").to_numpy(), table.column("centre").to_numpy()
+            starts = group_starts(table, keys)
+            a, b = [], []
+            for s, e in zip(starts, [*starts[1:], len(ids)], strict=True):
+                middle = np.flatnonzero(ids[s:e] == centre[s])
+                if len(middle):
+                    sets = _sets(table, s, e)
+                    near = ids[s:e][resembles(sets[middle[0]], sets, share)]
+                    near = near[near != centre[s]]
+                    a.append(np.full(len(near), centre[s]))
+                    b.append(near)
+            yield from _edges(a, b)
+
+    return run
+
+
+def _verified_tiles(share: tuple[int, int]):
+    """Of tiles of documents with their sets: edges with the components of all pairs that are alike."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = ["family", "tile_i", "tile_j"]
         for table in complete_groups(batches, keys, rows=CHECKED):
             ids = table.column("class").to_numpy()
             starts = group_starts(table, keys)
             a, b = [], []
             for s, e in zip(starts, [*starts[1:], len(ids)], strict=True):
-                if e - s > 1:
-                    sets = [np.frombuffer(x.as_py(), np.uint32) for x in table.column("shingles").slice(s, e - s)]
-                    root = label_components(alike(sets, share))
-                    moved = np.flatnonzero(root != np.arange(e - s))
-                    a.append(ids[s:e][moved])
-                    b.append(ids[s:e][root[moved]])
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (a, b)], names=["a", "b"])
+                root = label_components(alike(_sets(table, s, e), share))
+                moved = np.flatnonzero(root != np.arange(e - s))
+                a.append(ids[s:e][moved])
+                b.append(ids[s:e][root[moved]])
+            yield from _edges(a, b)
 
     return run
 
 
+def shared_keys(classes: DataFrame, radius: int, work: Workspace) -> DataFrame:
+    """(key, class, n), written: the keys that n classes, two or more, share; classes alike to each other share one.
+
+    A key is that of a MinHash band, or stands for word fingerprints of one seed that are linked within the radius.
+    """
+    kinds = F.explode(F.array(*[F.struct(F.lit(s).alias("seed"), F.get("prints", F.lit(i)).alias("fp")) for i, s in enumerate(WORD_SEEDS)])).alias("k")
+    prints = classes.select("class", kinds).select("class", "k.seed", "k.fp")
+    each = work.write(prints.groupBy("seed", "fp").agg(F.count(F.lit(1)).alias("n")), "each")
+    found = connected_components(near_edges(each.select("seed", "fp"), radius, work), work, "near")
+    # Should fingerprints of two seeds be equal, their classes share a key as well and are checked in vain.
+    named = work.write(each.join(found, each["fp"] == found["node"]).select("seed", "fp", "n", "component"), "named")
+    alone = each.where("n > 1").join(named.select("seed", "fp"), ["seed", "fp"], "left_anti").select("seed", "fp", "n", F.col("fp").alias("component"))
+    by_print = fetch(prints, work.write(named.unionByName(alone), "met"), ["seed", "fp"], work, "met")
+    held = by_print.select("class", F.xxhash64("seed", "component").alias("key")).unionByName(classes.select("class", F.explode("bands").alias("key")))
+    keys = held.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("a"), F.max("class").alias("b")).where("a <> b")
+    keys = work.write(keys, "keys")
+    pairs = keys.where("n = 2").select("key", F.explode(F.array("a", "b")).alias("class"), F.lit(2).cast("long").alias("n"))
+    large = keys.where("n > 2").select("key", "n", F.col("n").alias("size"))
+    more = fetch(held, large, ["key"], work, "keys").select("key", "class", F.col("size").alias("n"))
+    found = work.write(pairs.unionByName(more), "shared")
+    work.drop("each", "named", "met", "cover", "cover-buckets", "keys")
+    return found
+
+
+def star_links(shared: DataFrame, sets: DataFrame, step: int, share: tuple[int, int], work: Workspace) -> DataFrame:
+    """Edges (a, b) of classes that are alike, of each key's class of least hash with the others; written.
+
+    shared: (key, class, part) with the classes' components so far; classes of one component aren't compared again.
+    """
+    order = F.struct(F.xxhash64(F.lit(step), "class").alias("h"), "class", "part")
+    least = shared.groupBy("key").agg(F.min(order).alias("c"), F.count(F.lit(1)).alias("n"))
+    least = work.write(least.select("key", F.col("c.class").alias("centre"), F.col("c.part").alias("home"), "n"), f"least-{step}")
+    stars = join_heavy(shared, least, ["key"]).where("part <> home").select("centre", "class").distinct()
+    stars = work.write(stars, f"stars-{step}")
+    cells = work.write(stars.groupBy("centre").agg(F.count(F.lit(1)).alias("n")).withColumn("cells", F.ceil(F.col("n") / LEAVES).cast("int")), f"centres-{step}")
+    leaves = join_heavy(stars, cells, ["centre"]).select("centre", F.pmod(F.xxhash64(F.lit("cell"), "class"), "cells").cast("int").alias("cell"), "class")
+    middles = cells.select("centre", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), F.col("centre").alias("class"))
+    dealt = leaves.unionByName(middles).join(sets, "class").select("centre", "cell", "class", "shingles")
+    dealt = dealt.repartition("centre", "cell").sortWithinPartitions("centre", "cell")
+    return work.write(dealt.mapInArrow(_verified_stars(share), "a long, b long"), f"links-{step}")
+
+
+def tile_links(open_: DataFrame, sets: DataFrame, share: tuple[int, int], work: Workspace) -> DataFrame:
+    """Edges with the components of all pairs of classes that are alike and share a key; open_: (key, class), written.
+
+    All pairs of a key's classes are compared in tiles, or of all classes that keys link, whichever takes fewer rows: many
+    keys may have nearly the same classes, and many classes may be linked in a chain of keys. Keys with the same classes
+    count once.
+    """
+    sign = open_.groupBy("key").agg(
+        F.count(F.lit(1)).alias("n"), F.min("class").alias("a"), F.max("class").alias("b"),
+        F.bit_xor(F.xxhash64(F.lit(1), "class")).alias("x"), F.bit_xor(F.xxhash64(F.lit(2), "class")).alias("y"),
+    )
+    keys = work.write(sign.groupBy("n", "a", "b", "x", "y").agg(F.min("key").alias("key")).select("key", "n"), "open-keys")
+    rows = work.write(join_heavy(open_, keys.withColumn("size", F.col("n")), ["key"]), "open-rows")
+    # Nodes are keys and classes; should two of these be equal, a group is larger.
+    found = connected_components(rows.select(F.col("key").alias("a"), F.col("class").alias("b")), work, "families")
+    families = found.withColumnRenamed("node", "class").join(rows.select("class").distinct(), "class").select("class", F.col("component").alias("family"))
+    families = work.write(families, "families-of")
+
+    def cost(n):
+        return n * F.ceil(n / CHECKED)
+
+    whole = families.groupBy("family").agg(F.count(F.lit(1)).alias("n"))
+    by_key = keys.join(found.withColumnRenamed("node", "key"), "key").groupBy(F.col("component").alias("family")).agg(F.sum(cost(F.col("n"))).alias("cost"))
+    costs = work.write(whole.join(by_key, "family").withColumn("size", F.col("n")).withColumn("by_key", F.col("cost") < cost(F.col("n"))), "costs")
+    placed = work.write(join_heavy(families, costs.drop("cost"), ["family"]), "placed")
+    together = placed.where("not by_key").select("family", "class", "size")
+    apart = rows.join(placed.where("by_key").select("class"), "class").select(F.col("key").alias("family"), "class", "size")
+    keys = ["family", "tile_i", "tile_j"]
+    tiles = deal_tiles(together.unionByName(apart), "family", "size", "class", CHECKED)
+    tiles = tiles.join(sets, "class").select(*keys, "class", "shingles").repartition(*keys).sortWithinPartitions(*keys)
+    return work.write(tiles.mapInArrow(_verified_tiles(share), "a long, b long"), "tile-links")
+
+
 def near_copy_groups(
     docs: DataFrame, width: int = 5, share: tuple[int, int] = (4, 5), radius: int = 4, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """(id, text_a, text_b, component) for each row of docs with an id: groups of texts alike in their word shingles.
 
     Texts that are equal are one class; classes are linked if their sets of `width`-word shingles (A-Z lower-cased, a
-    shorter text's whole sequence) have at least share[0] / share[1] of their union in common. Candidates are those with
-    a word fingerprint within the radius for one of WORD_SEEDS, which covering tables find without a miss, and those that
-    share one of BANDS MinHash bands of the `width`-word shingles; clusters of candidates are then checked exactly on 32-bit hashes of whole texts' shingles, in tiles. component is the smallest
-    id reachable; text_a and text_b tell equal texts. Null texts are equal, and alike to texts without words.
+    shorter text's whole sequence) have at least share[0] / share[1] of their union in common. Compared are all classes
+    that share a key: a word fingerprint within the radius for one of WORD_SEEDS, which covering tables find without a
+    miss, or one of BANDS MinHash bands of the `width`-word shingles. Each key's classes are first checked against one of
+    them, exactly, on 32-bit hashes of whole texts' shingles; then all pairs of keys whose classes aren't in one component.
+    component is the smallest id reachable; text_a and text_b tell equal texts. Null texts are equal, and alike to texts
+    without words. Repeated rows give repeated rows; very long texts are hashed in slices; an empty table gives no rows;
+    other columns are not read.
     """
     work = Workspace(docs.sparkSession, "copies")
     text = F.col(text_col).cast("string")
@@ -286,66 +391,77 @@ def near_copy_groups(
         F.col(id_col).cast("long").alias("id"), F.xxhash64(F.lit(1), text).alias("text_a"),
         F.xxhash64(F.lit(2), text, F.length(text)).alias("text_b"), text.alias("text"),
     )
-    names = [f"fp{s}" for s in WORD_SEEDS]
-    bands = [f"band{i}" for i in range(BANDS)]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
+            prints, bands = [], []
             for x in batch.column(3):
                 words = words_of(x.as_py())
                 counts = Counter(words)
-                found.append([*(word_fingerprint(counts, s) for s in WORD_SEEDS), *band_keys(shingle_hashes(words, width)).tolist()])
-            columns = [pa.array(c, pa.int64()) for c in zip(*found, strict=True)] if found else [pa.array([], pa.int64())] * len(names + bands)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=["id", "text_a", "text_b", *names, *bands])
+                prints.append([word_fingerprint(counts, s) for s in WORD_SEEDS])
+                bands.append(band_keys(shingle_hashes(words, width)))
+            flat = [pa.array(np.array(v, np.int64).reshape(-1), pa.int64()) for v in (prints, bands)]
+            lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(prints) + 1) * w, pa.int32()), f) for w, f in zip((len(WORD_SEEDS), BANDS), flat, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *lists], names=["id", "text_a", "text_b", "prints", "bands"])
 
-    schema = "id long, text_a long, text_b long, " + ", ".join(f"{n} long" for n in names + bands)
+    schema = "id long, text_a long, text_b long, prints array<long>, bands array<long>"
     prints = work.write(texts.mapInArrow(measure, schema), "prints")
-    classes = prints.groupBy("text_a", "text_b").agg(F.min("id").alias("class"), *[F.min(n).alias(n) for n in names + bands])
-    classes = work.write(classes, "classes")
-    kinds = F.explode(F.array(*[F.struct(F.lit(s).alias("seed"), F.col(n).alias("fp")) for s, n in zip(WORD_SEEDS, names, strict=True)])).alias("k")
-    held = classes.select("class", kinds).select("class", "k.seed", "k.fp")
-    each = work.write(held.groupBy("seed", "fp").agg(F.count(F.lit(1)).alias("n")), "each")
-    near = near_edges(each.select("seed", "fp"), radius, work)
-    # Nodes are fingerprints and class ids; should two of these be equal, a cluster to be checked is larger.
-    met = near.select(F.explode(F.array("a", "b")).alias("fp")).union(each.where("n > 1").select("fp")).distinct()
-    spokes = held.join(met, "fp").select(F.col("class").alias("a"), F.col("fp").alias("b"))
-    shared = band_edges(classes.select("class", F.explode(F.array(*bands)).alias("key")), work)
-    found = connected_components(near.union(spokes).union(shared), work, "clusters").withColumnRenamed("node", "class")
-    clusters = found.join(classes.select("class", "text_a", "text_b"), "class")
-    clusters = work.write(clusters.withColumnRenamed("component", "cluster"), "clusters")
-    work.drop("cover", "cover-buckets", "each", "bands")
-    sizes = work.write(clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
-    members = work.write(clusters.join(sizes, "cluster").withColumnRenamed("class", "id"), "members")
-    fetched = texts.join(small_enough(members, BROADCAST_ROWS), ["id", "text_a", "text_b"]).select("cluster", "n", F.col("id").alias("class"), "text")
+    # Equal texts have equal prints and bands.
+    classes = prints.groupBy("text_a", "text_b", "prints", "bands").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
+    classes = work.write(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
+    shared = shared_keys(classes, radius, work)
+
+    needed = shared.select("class").distinct().join(classes.select("class", "id", "text_a", "text_b", "n"), "class")
+    needed = work.write(needed, "needed")
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = []
-            for x in batch.column(3):
+            for x in batch.column(1):
                 parts = [np.unique((h >> np.uint64(32)).astype(np.uint32)) for h in shingle_hashes(words_of(x.as_py()), width)]
                 sets.append(np.unique(np.concatenate([*parts, np.zeros(0, np.uint32)])).tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, pa.binary())], names=["cluster", "n", "class", "shingles"])
-
-    sets = work.write(fetched.mapInArrow(shingles, "cluster long, n long, class long, shingles binary"), "sets")
-    keys = ["cluster", "tile_i", "tile_j"]
-    tiles = deal_tiles(sets, "cluster", "n", "class", CHECKED).select(*keys, "class", "shingles")
-    links = tiles.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_verified_stars(share), "a long, b long")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["class", "shingles"])
+
+    fetched = fetch(texts, needed, ["id", "text_a", "text_b"], work, "needed").select("class", "text")
+    # A row may be repeated in docs.
+    sets = work.write(fetched.mapInArrow(shingles, "class long, shingles binary").dropDuplicates(["class"]), "sets")
+
+    def parts(links: DataFrame, step: int) -> DataFrame:
+        """(class, part) of all needed classes; written."""
+        found = connected_components(links, work, f"parts-{step}")
+        return work.write(needed.select("class").join(found, F.col("class") == F.col("node"), "left").select("class", F.coalesce("component", "class").alias("part")), f"part-{step}")
+
+    links, open_ = None, shared.select("key", "class", F.col("class").alias("part"))
+    for step in range(STAR_ROUNDS):
+        new = star_links(open_, sets, step, share, work)
+        links = new if links is None else links.unionByName(new)
+        part = parts(links, step)
+        # A key of two classes has been checked; of the others those are left whose classes aren't in one component.
+        rows = work.write((shared.where("n > 2") if not step else open_.drop("part")).select("key", "class").join(part, "class"), f"open-{step}")
+        left = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high")
+        open_ = work.write(join_heavy(rows, work.write(left.select("key", "n"), f"left-{step}"), ["key"]), f"still-{step}")
+        if open_.isEmpty():
+            break
+    else:
+        links = links.unionByName(tile_links(open_.select("key", "class"), sets, share, work))
     groups = connected_components(work.write(links, "links"), work, "groups")
-    rooted = classes.select("text_a", "text_b", "class").join(groups, F.col("class") == F.col("node"), "left")
-    rooted = rooted.select("text_a", "text_b", F.coalesce("component", "class").alias("component"))
-    return prints.select("id", "text_a", "text_b").join(rooted, ["text_a", "text_b"])
+    linked = work.write(classes.select("class", "text_a", "text_b", "id", "n").join(groups, F.col("class") == F.col("node"), "left").drop("node"), "linked")
+    roots = work.write(linked.where("component is not null").groupBy("component").agg(F.min("id").alias("root"), F.count(F.lit(1)).alias("n")), "roots")
+    named = join_heavy(linked.withColumnRenamed("n", "rows"), roots, ["component"], "left")
+    named = work.write(named.select("text_a", "text_b", F.col("rows").alias("n"), F.coalesce("root", "id").alias("component")), "named")
+    return join_heavy(prints.select("id", "text_a", "text_b"), named, ["text_a", "text_b"])
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs without the documents that have a near copy of a smaller id; rows without an id stay.
 
-    Rows of one id and text are one document and stay or go together.
+    Rows of one id and text are one document and stay or go together; so no row is left of a document whose copy has its
+    own id but another text. Only rows that a sieve doesn't clear are shuffled with their texts. Null and empty texts are
+    texts like any other, very long ones are read whole, an empty table gives no rows, and all columns stay.
     """
     work = Workspace(docs.sparkSession, "drop")
     groups = near_copy_groups(docs, id_col=id_col, text_col=text_col, **options)
-    gone = work.write(groups.where("id <> component").select(F.col("id").alias("_id"), "text_a", "text_b").distinct(), "gone")
+    gone = work.write(groups.where("id <> component").select("id", "text_a", "text_b").distinct(), "gone")
     text = F.col(text_col).cast("string")
-    a, b = F.xxhash64(F.lit(1), text), F.xxhash64(F.lit(2), text, F.length(text))
-    on = (F.col(id_col).cast("long") == gone["_id"]) & (a == gone["text_a"]) & (b == gone["text_b"])
-    return docs.join(small_enough(gone, BROADCAST_ROWS), on, "left_anti")
+    keys = {"id": F.col(id_col).cast("long"), "text_a": F.xxhash64(F.lit(1), text), "text_b": F.xxhash64(F.lit(2), text, F.length(text))}
+    return without(docs, keys, gone, work)

@@ -4,14 +4,21 @@ Words are lower-cased and stripped of punctuation at their ends; numbers, units
 within sentences become typed placeholders. Windows of WINDOW template words are hashed; those of documents are joined
 with those of benchmark items. The windows of an item that match at one alignment count if the values in their slots
 can be mapped: one value of the item must stand for one value of the document throughout. So an item is found when its
-numbers and names have been exchanged, also names that open sentences, as capitalised words there have both forms, but not where a template fits by chance; of other alignments the windows with
-equal values count. On demand windows are also hashed without slots, so a copy is found whatever its case. A window with few literal words must have equal values.
+numbers and names have been exchanged, also names that open sentences, as capitalised words there have both forms, but
+not where a template fits by chance; of other alignments the windows with equal values count. A window with few literal
+words must have equal values, which are part of its hash, so that it meets none but its equals. On demand windows are also
+hashed without slots, so a copy is found whatever its case.
+
+Texts are looked at many together, as one array of words. The benchmark's hashes reach the tasks as a bit array of fixed
+size, which lets through the windows that may be the benchmark's, and some in vain when it is very large; these are joined
+with the benchmark by a shuffle.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliary.llm.common import small_enough
+from foliary.llm.common import HEAVY, Workspace, text_groups
 
 #: Words of a window; a shorter item is one window, if it has at least SHORTEST words.
 WINDOW, SHORTEST = 13, 5
@@ -29,10 +36,12 @@ LITERAL = 0.5
 OPENERS = 6
 #: Marks the form of a window without slots.
 PLAIN = -2
-#: Windows of the benchmark up to which they are broadcast; 12 bytes each as a filter.
-BROADCAST_WINDOWS = 2_000_000
-#: Words a worker remembers.
-REMEMBERED = 800_000
+#: Bits of the filter of the benchmark's hashes, at most: 16 MB, whatever the benchmark's size.
+FILTER_BITS = 27
+#: Parts that the windows of a very frequent hash are dealt into.
+SALTS = 64
+#: Words a worker remembers, and characters of all these; characters looked at together.
+REMEMBERED, REMEMBERED_CHARACTERS, GROUP = 800_000, 1 << 26, 1 << 19
 
 NUMBER = re.compile(r"[+-]?[$€£]?[0-9][0-9.,:/]*(?:e[+-]?[0-9]+)?%?")
 NUMBER_WITH_UNIT = re.compile(r"([+-]?[$€£]?[0-9][0-9.,]*)([a-zµ°%]{1,4})")
@@ -90,12 +99,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Words(dict):
-    """Numbers for raw words, given as they are met: places in lists of their form, hash and traits."""
+    """Numbers for raw words, given as they are met: places of their form, hash and traits."""
 
     def __init__(self):
         self.form: list[str] = []
-        self.trait: list[int] = []
-        self.hash: list[int] = []
+        self.traits, self.hashes = np.zeros(1024, np.uint8), np.zeros(1024, np.uint64)
+        self.characters = 0
 
     def __missing__(self, raw: str) -> int:
         bare = raw.strip(EDGES)
@@ -109,37 +118,49 @@ class Words(dict):
             trait |= IS_CAPITAL
         if raw[-1:] in ENDS and raw.rstrip(CLOSING)[-1:] in SENTENCE_ENDS:
             trait |= ENDS_SENTENCE
+        self[raw] = at = len(self.form)
         self.form.append(form)
-        self.trait.append(trait)
-        h = xxhash.xxh64_intdigest(form.encode())
-        self.hash.append(h - (h >> 63 << 64))
-        self[raw] = at = len(self.form) - 1
+        if at == len(self.traits):
+            self.traits, self.hashes = np.concatenate([self.traits, self.traits]), np.concatenate([self.hashes, self.hashes])
+        self.traits[at], self.hashes[at] = trait, xxhash.xxh64_intdigest(form.encode())
+        self.characters += len(raw) + len(form)
         return at
 
+    def forget(self) -> None:
+        """Begins anew when too much is remembered; numbers given before no longer hold."""
+        if len(self) > REMEMBERED or self.characters > REMEMBERED_CHARACTERS:
+            self.clear()
+            self.__init__()
+
 
 class Template:
-    """The words of a text as literals and slots."""
-
-    def __init__(self, words: Words, text: str | None):
-        raw = (text or "").split()
-        if len(words) > REMEMBERED:
-            words.clear()
-            words.__init__()
-        met = list(map(words.__getitem__, raw))
-        at = np.array(met, np.int64)
-        trait = np.fromiter(map(words.trait.__getitem__, met), np.int64, len(met))
-        literal = np.fromiter(map(words.hash.__getitem__, met), np.int64, len(met)).view(np.uint64)
+    """The words of a text, or of some texts one after the other, as literals and slots."""
+
+    def __init__(self, words: Words, text: str | None | list[str | None]):
+        words.forget()
+        raw = [(t or "").split() for t in (text if isinstance(text, list) else [text])]
+        count = np.fromiter(map(len, raw), np.int64, len(raw))
+        at = np.fromiter(map(words.__getitem__, chain.from_iterable(raw)), np.int64, int(count.sum()))
+        del raw
+        doc = np.repeat(np.arange(len(count)), count)
+        trait = words.traits[at]
+        opens = np.zeros(len(at), bool)
+        opens[1:] = (trait[:-1] & ENDS_SENTENCE > 0) | (doc[1:] != doc[:-1])
+        opens[:1] = True
         keep = trait & IS_EMPTY == 0
-        ends = trait & ENDS_SENTENCE > 0
-        first = np.concatenate([[True], ends[:-1]]) if len(at) else ends
-        at, trait, first, self.literal = at[keep], trait[keep], first[keep], literal[keep]
+        if not keep.all():
+            at, trait, opens, doc = at[keep], trait[keep], opens[keep], doc[keep]
+        self.at, self.words, self.doc = at, words, doc
+        self.begin = np.searchsorted(doc, np.arange(len(count)))
+        self.literal = words.hashes[at]
         self.kind = np.where(trait & IS_NUMBER > 0, NUM, 0)
-        after_number = np.concatenate([[False], self.kind[:-1] == NUM]) if len(at) else first
+        after_number = np.zeros(len(at), bool)
+        after_number[1:] = (self.kind[:-1] == NUM) & (doc[1:] == doc[:-1])
         # A unit after a number is one even if it is a number word, as cent is.
         self.kind = np.where((trait & IS_UNIT > 0) & after_number, UNIT, self.kind)
-        self.kind = np.where((self.kind == 0) & (trait & IS_CAPITAL > 0) & ~first, NAME, self.kind)
-        self.at, self.words = at, words
-        self.openers = np.flatnonzero((self.kind == 0) & (trait & IS_CAPITAL > 0))
+        capital = (self.kind == 0) & (trait & IS_CAPITAL > 0)
+        self.kind = np.where(capital & ~opens, NAME, self.kind)
+        self.openers = np.flatnonzero(capital & opens)
         self.opens_capital = bool(len(self.openers)) and self.openers[0] == 0
 
     def __len__(self) -> int:
@@ -148,44 +169,64 @@ class Template:
     def forms(self, size: int, any_case: bool) -> list[tuple[np.ndarray, np.ndarray, int]]:
         """(starts, hashes, named): the windows as they are, then those in which openers of sentences are names too.
 
-        Bit j of named stands for the window's opener j; -1 for all of them. With any_case, last come, as PLAIN, windows with slots as
-        words alone, so that a copy is met whatever its case.
+        Bit j of named stands for the window's opener j; -1 for all of them. With any_case, last come, as PLAIN, windows
+        with slots as words alone, so that a copy is met whatever its case. Of a window that isn't free the values in the
+        slots are part of the hash.
         """
         n = len(self.at) - size + 1
         if n <= 0:
             return []
+        inside = self.doc[:n] == self.doc[size - 1 :]
+        every = np.flatnonzero(inside)
         slot = self.kind > 0
+        slots = windowed(slot.astype(np.int64), size)
         plain = mix(self.literal)
-        word = np.where(slot, mix(self.kind.astype(np.uint64)), plain) if slot.any() else plain
-        forward, back = powers(len(word) + 1)
-
-        def windowed(word: np.ndarray) -> np.ndarray:
-            total = np.concatenate([np.zeros(1, word.dtype), np.cumsum(word, dtype=word.dtype)])
-            return total[size:] - total[:-size]
-
-        sums = windowed(word * forward[:-1])
+        some = bool(slot.any())
+        tag = mix(self.kind.astype(np.uint64)) if some else plain
+        forward, back = powers(len(plain) + 1)
+        forward = forward[:-1]
+        by_kind = np.where(slot, tag, plain) if some else plain
+        by_value = np.where(slot, mix(self.literal ^ tag), plain) if some else plain
+        sums = windowed(by_kind * forward, size)
+        valued = windowed(by_value * forward, size) if some else sums
+        name = mix(np.array([NAME], np.uint64))
+        first = np.searchsorted(self.openers, np.arange(n))
+        count = np.searchsorted(self.openers, np.arange(n) + size) - first
+        change = (name - plain[self.openers]) * forward[self.openers]
+        change_valued = (mix(self.literal[self.openers] ^ name) - plain[self.openers]) * forward[self.openers]
 
         def hashed(sums: np.ndarray, at: np.ndarray) -> np.ndarray:
             return mix(sums * back[at] + np.uint64(size)).view(np.int64)
 
-        out = [(np.arange(n), hashed(sums, np.arange(n)), 0)]
+        def form(at: np.ndarray, names: np.ndarray | int, moved, named: int) -> tuple[np.ndarray, np.ndarray, int]:
+            """moved: what the names change in the sums, for changes of either kind."""
+            free = size - slots[at] - names >= LITERAL * size
+            total = sums[at] + moved(change)
+            if not free.all():
+                total = np.where(free, total, valued[at] + moved(change_valued))
+            return at, hashed(total, at), named
+
+        out = [form(every, 0, lambda change: np.uint64(0), 0)]
         if len(self.openers):
-            change = (mix(np.array([NAME], np.uint64)) - word[self.openers]) * forward[self.openers]
-            first = np.searchsorted(self.openers, np.arange(n))
-            count = np.searchsorted(self.openers, np.arange(n) + size) - first
-            few = count <= OPENERS
+            few = every[(count[every] > 0) & (count[every] <= OPENERS)]
             for named in range(1, 1 << min(OPENERS, int(count.max()))):
-                at = np.flatnonzero(few & (count >= named.bit_length()))
-                if len(at):
-                    changed = sum(change[first[at] + j] for j in range(named.bit_length()) if named >> j & 1)
-                    out.append((at, hashed(sums[at] + changed, at), named))
-            at = np.flatnonzero(~few)
-            if len(at):
-                changes = np.concatenate([[np.uint64(0)], np.cumsum(change, dtype=np.uint64)])
-                out.append((at, hashed(sums[at] + changes[first[at] + count[at]] - changes[first[at]], at), -1))
-        if any_case and slot.any():
-            at = np.flatnonzero(windowed(slot.astype(np.int64)))
-            out.append((at, hashed(windowed(plain * forward[:-1])[at], at), PLAIN))
+                if named & named - 1 == 0:
+                    few = few[count[few] >= named.bit_length()]
+                if not len(few):
+                    break
+                bits = [j for j in range(named.bit_length()) if named >> j & 1]
+                out.append(form(few, len(bits), lambda change, few=few, bits=bits: sum(change[first[few] + j] for j in bits), named))
+            many = every[count[every] > OPENERS]
+            if len(many):
+
+                def moved(change):
+                    total = np.concatenate([[np.uint64(0)], np.cumsum(change, dtype=np.uint64)])
+                    return total[first[many] + count[many]] - total[first[many]]
+
+                out.append(form(many, count[many], moved, -1))
+        if any_case and some:
+            at = every[slots[every] > 0]
+            out.append((at, hashed(windowed(plain * forward, size)[at], at), PLAIN))
         return out
 
     def names(self, start: int, size: int, named: int) -> list[int]:
@@ -199,9 +240,11 @@ class Template:
         part = range(start, start + size) if not plain else ()
         return [self.words.form[self.at[i]] for i in part if self.kind[i] or i in names or (first_is_name and i == 0)]
 
-    def literals(self, size: int) -> np.ndarray:
-        total = np.concatenate([[0], np.cumsum(self.kind == 0)])
-        return total[size:] - total[:-size]
+
+def windowed(values: np.ndarray, size: int) -> np.ndarray:
+    """The sum of each `size` values that follow each other."""
+    total = np.concatenate([np.zeros(1, values.dtype), np.cumsum(values, dtype=values.dtype)])
+    return total[size:] - total[:-size]
 
 
 _powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
@@ -218,7 +261,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
-BENCH = "hash long, size int, item_id long, place int, n_windows int, free boolean, item_slots array<string>, item_named boolean"
+BENCH = "hash long, size int, item_id long, place int, n_windows int, item_slots array<string>, item_named boolean"
 DOC = "hash long, doc long, at int, slots array<string>, named boolean"
 
 
@@ -237,13 +280,14 @@ def benchmark_windows(items: DataFrame, any_case: bool, id_col: str = "item_id",
                 size = min(WINDOW, len(t))
                 if size < SHORTEST:
                     continue
-                literal = t.literals(size)
                 for at, hashes, named in t.forms(size, any_case):
                     for i, h in zip(at.tolist(), hashes.tolist(), strict=True):
                         names = t.names(i, size, named)
-                        free = literal[i] - len(names) >= LITERAL * size
                         marked = bool(names) and names != [0]
-                        rows.append((h, size, item.as_py(), i, len(literal), bool(free), t.slots(i, size, names=names, plain=named == PLAIN), marked))
+                        rows.append((h, size, item.as_py(), i, len(t) - size + 1, t.slots(i, size, names=names, plain=named == PLAIN), marked))
+                if len(rows) > 20000:
+                    yield from record(rows, BENCH)
+                    rows = []
             yield from record(rows, BENCH)
 
     return items.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, BENCH)
@@ -257,58 +301,78 @@ def record(rows: list[tuple], schema: str) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
 
-def document_windows(docs: DataFrame, sizes: list[int], wanted: np.ndarray | None, any_case: bool, id_col: str, text_col: str) -> DataFrame:
-    """A row for each form of each window of each text, of those in `wanted` (sorted hashes) if it is given."""
-    image = docs.sparkSession.sparkContext.broadcast(wanted)
+def hash_filter(hashes: DataFrame) -> np.ndarray:
+    """A bit for each value of the leading bits of the hashes (column hash), as uint64; 16 bits a hash, within FILTER_BITS."""
+    n = hashes.count()
+    bits = min(FILTER_BITS, max(6, (16 * n).bit_length()))
+    place = F.call_function("shiftrightunsigned", F.col("hash"), F.lit(64 - bits))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
+    # As many rows as the filter has words.
+    found = hashes.select(F.shiftright(place, 6).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(1 << bits - 6, np.int64)
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    return out.view(np.uint64)
+
+
+def in_filter(filter_: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    bits = len(filter_).bit_length() + 5
+    place = hashes.view(np.uint64) >> np.uint64(64 - bits)
+    return filter_[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1) == 1
+
+
+def document_windows(docs: DataFrame, sizes: list[int], filter_: np.ndarray, any_case: bool, id_col: str, text_col: str) -> DataFrame:
+    """A row for each form of each window of each text that the filter lets through."""
+    image = docs.sparkSession.sparkContext.broadcast(filter_)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, wanted = Words(), image.value
         for batch in batches:
-            rows = []
-            for doc, text in zip(batch.column(0), batch.column(1), strict=True):
-                t = Template(words, text.as_py())
+            done = 0
+            for texts in text_groups(batch.column(1), GROUP):
+                ids = batch.column(0).slice(done, len(texts)).to_pylist()
+                done += len(texts)
+                t = Template(words, texts)
+                rows = []
                 for size in sizes:
                     for at, h, named in t.forms(size, any_case):
-                        if wanted is not None:
-                            met = wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h
-                            at, h = at[met], h[met]
-                        rows += [
-                            (x, doc.as_py(), i, t.slots(i, size, names=t.names(i, size, named), plain=named == PLAIN), named not in (0, PLAIN))
-                            for i, x in zip(at.tolist(), h.tolist(), strict=True)
-                        ]
-                if len(rows) > 20000:
-                    yield from record(rows, DOC)
-                    rows = []
-            yield from record(rows, DOC)
+                        met = in_filter(wanted, h)
+                        for i, x in zip(at[met].tolist(), h[met].tolist(), strict=True):
+                            k = t.doc[i]
+                            slots = t.slots(i, size, names=t.names(i, size, named), plain=named == PLAIN)
+                            rows.append((x, ids[k], i - int(t.begin[k]), slots, named not in (0, PLAIN)))
+                            if len(rows) > 20000:
+                                yield from record(rows, DOC)
+                                rows = []
+                yield from record(rows, DOC)
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, DOC)
 
 
 def contaminated(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    broadcast_windows: int = BROADCAST_WINDOWS, any_case: bool = False,
+    any_case: bool = False, item_id_col: str = "item_id", item_text_col: str = "text",
 ) -> DataFrame:
     """(doc_id, item_id, n_windows, n_exact, n_changed, share) for each document and item that share a window.
 
     n_windows counts places of the item that are found, n_exact those with equal slots somewhere, n_changed the others,
     share is n_windows by the item's windows. With any_case windows also count whose lower-cased words are equal, whatever
-    the template makes of them. Null texts hold nothing, rows with a null id are left out; equal rows and
-    rows of one id count together. Items of fewer than SHORTEST words are left out. An empty table gives no rows. The benchmark's windows are counted, and broadcast
-    up to broadcast_windows of them; beyond that all windows of the documents are joined by their hash.
+    the template makes of them. Null and empty texts hold nothing, rows with a null id are left out; equal rows and rows of
+    one id count together. Items of fewer than SHORTEST words are left out: a few words occur by chance. Very long texts
+    are read whole; other columns are not read. An empty table gives no rows.
     """
-    bench = benchmark_windows(items.where("item_id is not null"), any_case).distinct()
+    work = Workspace(docs.sparkSession, "templates")
+    bench = work.write(benchmark_windows(items.where(F.col(item_id_col).isNotNull()), any_case, item_id_col, item_text_col).distinct(), "bench")
     sizes = sorted(r["size"] for r in bench.select("size").distinct().collect())
-    hashes = bench.select("hash").distinct()
-    docs = docs.where(F.col(id_col).isNotNull())
-    wanted = None
-    if hashes.count() <= broadcast_windows:
-        wanted = np.sort(hashes.toArrow().column(0).to_numpy())
-        if not len(wanted):
-            wanted, sizes = None, []
-    found = document_windows(docs, sizes, wanted, any_case, id_col, text_col)
-    pairs = found.join(small_enough(bench, broadcast_windows), "hash")
+    wanted = hash_filter(bench.select("hash").distinct())
+    found = work.write(document_windows(docs.where(F.col(id_col).isNotNull()), sizes, wanted, any_case, id_col, text_col), "found")
+    # Of a hash that very many windows have, which are fewer than HEAVY hashes, windows are dealt into parts.
+    counts = work.write(found.groupBy("hash").agg(F.count(F.lit(1)).alias("n")), "counts")
+    often = F.broadcast(counts.where(F.col("n") > (counts.agg(F.sum("n")).first()[0] or 0) / HEAVY).select("hash", F.lit(SALTS).alias("parts")))
+    salted = found.join(often, "hash", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64(F.lit("salt"), "doc"), "parts"), F.lit(0)).cast("int"))
+    dealt = bench.join(often, "hash", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+    pairs = salted.drop("parts").join(dealt.drop("parts", "size"), ["hash", "salt"])
     equal = F.col("item_slots") == F.col("slots")
-    windows = pairs.where(F.col("free") | equal).select(
+    windows = pairs.select(
         "doc", "item_id", "place", (F.col("at") - F.col("place")).alias("shift"), "n_windows",
         F.struct(F.arrays_zip("item_slots", "slots").alias("slots"), equal.alias("equal"), "place", (F.col("item_named") | F.col("named")).alias("named")).alias("w"),
     )

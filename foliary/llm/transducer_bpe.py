@@ -26,6 +26,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliary.llm.common import text_groups
+
 #: The published pattern that byte-level BPE splits text by.
 PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 #: Where a single space isn't the start of a word, so that splitting at spaces would change the words.
@@ -333,21 +335,6 @@ class Encoder:
             yield b",".join(ids), b"".join(decoded)
 
 
-def text_groups(texts: pa.Array, size: int = 1 << 20) -> Iterator[list[str | None]]:
-    """Consecutive texts of about `size` characters together, a longer one alone."""
-    group: list[str | None] = []
-    total = 0
-    for x in texts:
-        text = x.as_py()
-        group.append(text)
-        total += len(text or "")
-        if total >= size:
-            yield group
-            group, total = [], 0
-    if group:
-        yield group
-
-
 def frequent_words(docs: DataFrame, text_col: str, n: int = LEXICON) -> list[str]:
     """About the n most frequent space-separated words of all texts.
 

@@ -54,8 +54,11 @@ def got(df):
     return {(r["doc_id"], r["item_id"]): (r["n_windows"], r["n_exact"]) for r in df.collect()}
 
 
-@pytest.mark.parametrize("limit", [D.BROADCAST_WINDOWS, 0])
-def test_equals_brute_force(spark, limit):
+@pytest.mark.parametrize(("bits", "group", "heavy"), [(27, 1 << 19, 1000), (6, 50, 3)])
+def test_equals_brute_force(spark, monkeypatch, bits, group, heavy):
+    monkeypatch.setattr(D, "FILTER_BITS", bits)
+    monkeypatch.setattr(D, "GROUP", group)
+    monkeypatch.setattr(D, "HEAVY", heavy)
     rng = random.Random(2)
     vocabulary = ["Ann", "Bob", "3", "4.5", "kg", "the", "of", "sum", "is", "and", "what.", "(price)", "--", "6kg"]
     items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([3, 6, 14, 20])))) for i in range(12)]
@@ -63,7 +66,7 @@ def test_equals_brute_force(spark, limit):
     docs = [(i, " ".join(rng.choice(vocabulary) for _ in range(30)) + " " + rng.choice(items)[1] if rng.random() < 0.7 and items else "x") if i % 2 else (i, "so " + (items[i % 12][1]) + " end") for i in range(40) if items[i % 12][1]]
     docs += [(60, "It says: " + ITEM + " Yes."), (61, "well " + CHANGED), (62, INCONSISTENT), (63, None), (64, ""), (None, ITEM), (65, "a " * 20000), (60, ITEM)]
     d, b = frames(spark, docs, items)
-    found = got(D.contaminated(d, b, broadcast_windows=limit))
+    found = got(D.contaminated(d, b))
     assert found == brute(docs, items)
     assert found[(60, 50)][0] == found[(60, 50)][1] and found[(61, 50)][1] < found[(61, 50)][0]
     assert found.get((62, 50), (0, 0))[0] < found[(61, 50)][0]

@@ -5,7 +5,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline as P
-from foliary.llm import pii_weak, simhash_covering
+from foliary.llm import common, pii_weak, simhash_covering
 from foliary.llm.queries import BYTE_BPE
 
 SF = "/root/testdata/sf0.01"
@@ -35,10 +35,11 @@ def groups(rows):
     return {d: find(d) for d in root}
 
 
-@pytest.mark.parametrize("broadcast", [500_000, 0])
-def test_near_copies_equal_brute_force(spark, monkeypatch, broadcast):
-    monkeypatch.setattr(simhash_covering, "CHECKED", 8)
-    monkeypatch.setattr(simhash_covering, "BROADCAST_ROWS", broadcast)
+@pytest.mark.parametrize(("checked", "heavy"), [(512, 1000), (8, 4)])
+def test_near_copies_equal_brute_force(spark, monkeypatch, checked, heavy):
+    monkeypatch.setattr(simhash_covering, "CHECKED", checked)
+    monkeypatch.setattr(simhash_covering, "LEAVES", checked)
+    monkeypatch.setattr(common, "HEAVY", heavy)
     rng = random.Random(7)
     word = lambda: f"W{min(int(rng.paretovariate(0.5)), 4000)}"
     rows = []
