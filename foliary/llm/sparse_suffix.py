@@ -21,19 +21,22 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliary.llm.common import Workspace, complete_groups, group_starts
+from foliary.llm.common import Workspace, complete_groups, group_starts, join_heavy
 
 #: Words of a window, and of a run.
 LENGTH, RUN = 50, 8
 #: Suffixes of a run that are compared with each other.
 GROUP = 64
-REMEMBERED = 400_000
+#: Words whose hash a worker remembers, and the longest that it does.
+REMEMBERED, LONGEST = 400_000, 64
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 class WordHashes(dict):
     def __missing__(self, word: str) -> int:
-        h = self[word] = xxhash.xxh64_intdigest(word.encode(), 7)
+        h = xxhash.xxh64_intdigest(word.encode(), 7)
+        if len(word) <= LONGEST:
+            self[word] = h
         return h
 
     def of(self, text: str | None) -> np.ndarray:
@@ -200,8 +203,8 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_
 
     spans are of words, as white space parts them, end exclusive: the union of all runs of `length` words that another
     document holds too. Words are compared as they are written. Repeats within one document alone don't count, so rows
-    of one id never repeat each other. Null and short texts and rows with a null id have no spans; an empty table gives
-    no rows.
+    of one id never repeat each other. Null and short texts and rows with a null id have no spans; very long texts are read
+    whole; other columns are not read; an empty table gives no rows.
     """
     if length < 2 * RUN:
         raise ValueError(f"length must be at least {2 * RUN}")
@@ -212,7 +215,10 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_
     anchors = work.write(find_anchors(texts, length), "anchors")
     runs = anchors.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("a"), F.max("doc").alias("b"))
     runs = work.write(runs.where("a <> b").select("run", "n"), "runs")
-    kept = anchors.join(runs, "run").groupBy("doc", "text_hash").agg(F.collect_set(F.struct("place", "run", "n")).alias("found"))
+    sized = runs.withColumn("size", F.col("n"))
+    sized.marks = runs.marks
+    kept = join_heavy(anchors, sized, ["run"]).withColumnRenamed("size", "n")
+    kept = kept.groupBy("doc", "text_hash").agg(F.collect_set(F.struct("place", "run", "n")).alias("found"))
     kept = work.write(kept, "kept")
     work.drop("anchors")
     # Texts with a kept suffix; a text meets its own suffixes alone.
@@ -222,8 +228,8 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_
     suffixes = met.where("low >= 0").repartition("run").sortWithinPartitions(*order)
     near = suffixes.mapInArrow(compare_neighbours(length), "doc long, start int, end int")
     windows = met.where("low < 0").select(F.col("run").alias("window"), "doc", F.col("place").alias("start"))
-    shared = windows.groupBy("window").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a <> b").select("window")
-    common = windows.join(shared, "window").select("doc", "start", (F.col("start") + length).alias("end"))
+    shared = windows.groupBy("window").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.count(F.lit(1)).alias("n")).where("a <> b")
+    common = join_heavy(windows, work.write(shared.select("window", "n"), "windows"), ["window"]).select("doc", "start", (F.col("start") + length).alias("end"))
     spans = near.unionByName(common).groupBy("doc").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
     def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
