@@ -34,8 +34,8 @@ PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L
 INNER_SPACE = re.compile(r"\s (?=\s|\Z)")
 #: Words in the lexicon; words a task counts at most before it drops the rarest, and those it hands on.
 LEXICON, COUNTED, HANDED = 1 << 16, 1 << 18, 1 << 15
-#: Chunks of text whose ids a worker remembers.
-REMEMBERED = 800_000
+#: Chunks of text whose ids a worker remembers, and characters of these: a chunk may be as long as a text.
+REMEMBERED, REMEMBERED_CHARACTERS = 800_000, 1 << 24
 MARKS = tuple(".,:;!?")
 #: Longer words are merged by a heap; shorter ones side by side.
 WIDE = 48
@@ -271,6 +271,7 @@ class Encoder:
         self.vocabulary, self.lexicon = vocabulary, lexicon
         self.special = vocabulary.special if special else {}
         self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.characters = 0
         self.decimal = {i: str(i).encode() for i in vocabulary.pieces}.__getitem__
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
@@ -285,9 +286,10 @@ class Encoder:
         todo = chunks.difference(self.known)
         if not todo:
             return
-        if len(self.known) + len(todo) > REMEMBERED:
-            self.known = {}
+        if len(self.known) + len(todo) > REMEMBERED or self.characters > REMEMBERED_CHARACTERS:
+            self.known, self.characters = {}, 0
             todo = chunks
+        self.characters += sum(map(len, todo))
         known, words_of = self.known, {}
         fresh: set[str] = set()
         for chunk in todo:
@@ -375,7 +377,7 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_i
     """(doc_id, n_tokens, ids_sha256, decoded_sha256, and with ids=True ids array<int>) of each row.
 
     A null text is an empty one: no tokens, the digests of nothing. Repeated rows give repeated rows, an empty table
-    none. Decoding joins the pieces of the ids; bytes that aren't UTF-8 become U+FFFD.
+    none; very long texts are encoded whole; other columns are not read. Decoding joins the pieces of the ids; bytes that aren't UTF-8 become U+FFFD.
     """
     spark: SparkSession = docs.sparkSession
     vocabulary = Vocabulary(vocabulary_path)
