@@ -302,22 +302,32 @@ def record(rows: list[tuple], schema: str) -> Iterator[pa.RecordBatch]:
 
 
 def hash_filter(hashes: DataFrame) -> np.ndarray:
-    """A bit for each value of the leading bits of the hashes (column hash), as uint64; 16 bits a hash, within FILTER_BITS."""
+    """Bits at the places that the leading and the last bits of each of the hashes (column hash) give, as uint64.
+
+    There are 1024 bits for a hash, within FILTER_BITS. Of other hashes some (2 / 1024)^2 pass; (2 n / 2^FILTER_BITS)^2
+    of them where n hashes don't have as much room, 0.1 % at two million.
+    """
     n = hashes.count()
-    bits = min(FILTER_BITS, max(6, (16 * n).bit_length()))
-    place = F.call_function("shiftrightunsigned", F.col("hash"), F.lit(64 - bits))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
+    bits = min(FILTER_BITS, max(6, (1024 * n).bit_length()))
+    places = F.array(F.call_function("shiftrightunsigned", F.col("hash"), F.lit(64 - bits)), F.col("hash").bitwiseAND(F.lit((1 << bits) - 1)))
+    each = hashes.select(F.explode(places).alias("place"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("place").bitwiseAND(F.lit(63)).cast("int"))
     # As many rows as the filter has words.
-    found = hashes.select(F.shiftright(place, 6).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    found = each.select(F.shiftright("place", 6).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     out = np.zeros(1 << bits - 6, np.int64)
     out[found.column("word").to_numpy()] = found.column("bits").to_numpy()
     return out.view(np.uint64)
 
 
 def in_filter(filter_: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Places of the hashes that pass."""
     bits = len(filter_).bit_length() + 5
-    place = hashes.view(np.uint64) >> np.uint64(64 - bits)
-    return filter_[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1) == 1
+    hashes = hashes.view(np.uint64)
+    some = np.arange(len(hashes))
+    for place in (hashes >> np.uint64(64 - bits), hashes & np.uint64((1 << bits) - 1)):
+        place = place[some]
+        some = some[filter_[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1) == 1]
+    return some
 
 
 def document_windows(docs: DataFrame, sizes: list[int], filter_: np.ndarray, any_case: bool, id_col: str, text_col: str) -> DataFrame:
@@ -384,8 +394,10 @@ def contaminated(
         return F.size(F.array_distinct(F.transform(slots, lambda x: x["item_slots"]))) == F.size(slots)
 
     plain = fitting(F.filter("ws", lambda w: ~w["named"]))
+    # In a step of its own: beside explode it would be judged anew for each window.
+    judged = aligned.select("doc", "item_id", "n_windows", "ws", plain.alias("plain"), fitting(F.col("ws")).alias("fits"))
     places = (
-        aligned.select("doc", "item_id", "n_windows", plain.alias("plain"), fitting(F.col("ws")).alias("fits"), F.explode("ws").alias("w"))
+        judged.select("doc", "item_id", "n_windows", "plain", "fits", F.explode("ws").alias("w"))
         .where("fits or w.equal or plain and not w.named")
         .groupBy("doc", "item_id", F.col("w.place").alias("place"))
         .agg(F.max("w.equal").alias("exact"), F.max("n_windows").alias("all"))
