@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 MASK64 = (1 << 64) - 1
@@ -40,10 +40,20 @@ class Workspace:
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, *marks: Column) -> DataFrame:
+        """df as written; its attribute marks has the values of the aggregates marks, by name, made as the rows pass.
+
+        Of a table with a column n, total and most are its sum and largest value. Tasks that run twice may count twice,
+        so marks guide how a table is joined, and nothing that is returned.
+        """
         path = f"{self.root}/{name}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        if "n" in df.columns:
+            marks += F.sum("n").alias("total"), F.max("n").alias("most")
+        seen = Observation()
+        (df.observe(seen, *marks) if marks else df).write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out.marks = seen.get if marks else {}
+        return out
 
     def drop(self, *names: str) -> None:
         jvm = self.spark.sparkContext._jvm
@@ -66,11 +76,12 @@ def join_heavy(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "i
     result. Keys with more than one row in HEAVY, fewer than HEAVY as their numbers add up to that of all rows, are
     broadcast; the others meet in a shuffle.
     """
-    total = table.agg(F.sum("n")).first()[0] or 0
+    marks = getattr(table, "marks", None) or table.agg(F.sum("n").alias("total"), F.max("n").alias("most")).first()
+    total, most = marks["total"] or 0, marks["most"] or 0
+    if most * HEAVY <= total:
+        return rows.join(table.drop("n"), keys, how)
     often = F.col("n") > total / HEAVY
     heavy, light = F.broadcast(table.where(often).drop("n")), table.where(~often).drop("n")
-    if not heavy.take(1):
-        return rows.join(light, keys, how)
     rest = rows.join(heavy.select(*keys), keys, "left_anti").join(light, keys, how)
     return rows.join(heavy, keys).unionByName(rest)
 

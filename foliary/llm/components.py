@@ -48,13 +48,6 @@ def _shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield stars(parent)
 
 
-def _mark(edges: DataFrame) -> tuple[int, int]:
-    row = edges.select(
-        F.count(F.lit(1)).alias("n"), F.sum(F.shiftright(F.xxhash64("a", "b"), 20)).alias("h")
-    ).first()
-    return row["n"], row["h"] or 0
-
-
 def connected_components(edges: DataFrame, work: Workspace, tag: str = "cc") -> DataFrame:
     """(node, component) for each node of edges (a long, b long); component is the smallest node reachable.
 
@@ -63,10 +56,10 @@ def connected_components(edges: DataFrame, work: Workspace, tag: str = "cc") ->
     of a hub.
     """
     clean = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a is not null and b is not null and a <> b")
-    now = work.write(clean.mapInArrow(_shrink, "a long, b long").distinct(), f"{tag}-0")
-    mark = _mark(now)
+    marks = F.count(F.lit(1)).alias("edges"), F.sum(F.shiftright(F.xxhash64("a", "b"), 20)).alias("hash")
+    now = work.write(clean.mapInArrow(_shrink, "a long, b long").distinct(), f"{tag}-0", *marks)
     step = 0
-    while mark[0]:
+    while now.marks["edges"]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"), F.count(F.lit(1)).alias("n"))
         least = work.write(least, f"{tag}-least-{step}")
@@ -79,10 +72,10 @@ def connected_components(edges: DataFrame, work: Workspace, tag: str = "cc") ->
             .distinct()
         )
         step += 1
-        now = work.write(small, f"{tag}-{step}")
+        before, now = now.marks, work.write(small, f"{tag}-{step}", *marks)
         work.drop(*[f"{tag}-{x}{step - 1}" for x in ("", "least-", "large-", "root-")])
-        before, mark = mark, _mark(now)
-        if mark == before:
+        # The same edges as before: a chance equality would need equal counts and sums of hashes.
+        if now.marks == before:
             break
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()

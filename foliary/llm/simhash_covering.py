@@ -175,9 +175,7 @@ BANDS, BAND_ROWS = 40, 8
 #: Shingles whose values under all functions are held at once.
 HASHED = 1024
 #: Documents of a block when all pairs of a group are checked; copies that are checked against one document at once.
-CHECKED, LEAVES = 512, 256
-#: Rounds in which each key's documents are checked against one of them, before pairs that are left are checked.
-STAR_ROUNDS = 2
+CHECKED, LEAVES = 256, 256
 
 
 def word_fingerprint(counts: dict[bytes, int], seed: int) -> int:
@@ -304,44 +302,65 @@ def shared_keys(classes: DataFrame, radius: int, work: Workspace) -> DataFrame:
     kinds = F.explode(F.array(*[F.struct(F.lit(s).alias("seed"), F.get("prints", F.lit(i)).alias("fp")) for i, s in enumerate(WORD_SEEDS)])).alias("k")
     prints = classes.select("class", kinds).select("class", "k.seed", "k.fp")
     each = work.write(prints.groupBy("seed", "fp").agg(F.count(F.lit(1)).alias("n")), "each")
-    found = connected_components(near_edges(each.select("seed", "fp"), radius, work), work, "near")
+    near = near_edges(each.select("seed", "fp"), radius, work)
+    # All of a bucket that are linked have edges to one of them, which names their key; a print may have a few keys.
     # Should fingerprints of two seeds be equal, their classes share a key as well and are checked in vain.
-    named = work.write(each.join(found, each["fp"] == found["node"]).select("seed", "fp", "n", "component"), "named")
-    alone = each.where("n > 1").join(named.select("seed", "fp"), ["seed", "fp"], "left_anti").select("seed", "fp", "n", F.col("fp").alias("component"))
-    by_print = fetch(prints, work.write(named.unionByName(alone), "met"), ["seed", "fp"], work, "met")
-    held = by_print.select("class", F.xxhash64("seed", "component").alias("key")).unionByName(classes.select("class", F.explode("bands").alias("key")))
+    ends = near.select(F.explode(F.array(F.struct("a", F.col("b").alias("fp")), F.struct("a", F.col("a").alias("fp")))).alias("e"))
+    names = ends.groupBy("e.fp").agg(F.collect_set("e.a").alias("names"))
+    met = each.join(names, "fp", "left").where("n > 1 or names is not null")
+    met = work.write(met.select("seed", "fp", "n", F.coalesce("names", F.array("fp")).alias("names")), "met")
+    by_print = fetch(prints, met, ["seed", "fp"], work, "met").select("class", "seed", F.explode("names").alias("name"))
+    held = by_print.select("class", F.xxhash64("seed", "name").alias("key")).distinct().unionByName(classes.select("class", F.explode("bands").alias("key")))
     keys = held.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("a"), F.max("class").alias("b")).where("a <> b")
     keys = work.write(keys, "keys")
     pairs = keys.where("n = 2").select("key", F.explode(F.array("a", "b")).alias("class"), F.lit(2).cast("long").alias("n"))
     large = keys.where("n > 2").select("key", "n", F.col("n").alias("size"))
     more = fetch(held, large, ["key"], work, "keys").select("key", "class", F.col("size").alias("n"))
     found = work.write(pairs.unionByName(more), "shared")
-    work.drop("each", "named", "met", "cover", "cover-buckets", "keys")
+    work.drop("each", "met", "cover", "cover-buckets", "keys")
     return found
 
 
-def star_links(shared: DataFrame, sets: DataFrame, step: int, share: tuple[int, int], work: Workspace) -> DataFrame:
-    """Edges (a, b) of classes that are alike, of each key's class of least hash with the others; written.
+def star_links(shared: DataFrame, sets: DataFrame, share: tuple[int, int], work: Workspace) -> DataFrame:
+    """Edges (a, b) of classes that are alike, of each class with one centre; written.
 
-    shared: (key, class, part) with the classes' components so far; classes of one component aren't compared again.
+    shared: (key, class, n). A key's centre is its class of least hash, a class's centre the least of its keys' centres, so
+    that those of a large group, which share many keys, have few centres and each is compared once.
     """
-    order = F.struct(F.xxhash64(F.lit(step), "class").alias("h"), "class", "part")
-    least = shared.groupBy("key").agg(F.min(order).alias("c"), F.count(F.lit(1)).alias("n"))
-    least = work.write(least.select("key", F.col("c.class").alias("centre"), F.col("c.part").alias("home"), "n"), f"least-{step}")
-    stars = join_heavy(shared, least, ["key"]).where("part <> home").select("centre", "class").distinct()
-    stars = work.write(stars, f"stars-{step}")
-    cells = work.write(stars.groupBy("centre").agg(F.count(F.lit(1)).alias("n")).withColumn("cells", F.ceil(F.col("n") / LEAVES).cast("int")), f"centres-{step}")
+    least = shared.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit("centre"), "class").alias("h"), "class")).alias("c"), F.count(F.lit(1)).alias("n"))
+    stars = join_heavy(shared.select("key", "class"), work.write(least, "centres"), ["key"])
+    stars = stars.groupBy("class").agg(F.min("c")["class"].alias("centre")).where("centre <> class")
+    stars = work.write(stars, "stars")
+    cells = stars.groupBy("centre").agg(F.count(F.lit(1)).alias("n")).withColumn("cells", F.ceil(F.col("n") / LEAVES).cast("int"))
+    cells = work.write(cells, "cells")
     leaves = join_heavy(stars, cells, ["centre"]).select("centre", F.pmod(F.xxhash64(F.lit("cell"), "class"), "cells").cast("int").alias("cell"), "class")
     middles = cells.select("centre", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), F.col("centre").alias("class"))
     dealt = leaves.unionByName(middles).join(sets, "class").select("centre", "cell", "class", "shingles")
     dealt = dealt.repartition("centre", "cell").sortWithinPartitions("centre", "cell")
-    return work.write(dealt.mapInArrow(_verified_stars(share), "a long, b long"), f"links-{step}")
+    return work.write(dealt.mapInArrow(_verified_stars(share), "a long, b long"), "star-links")
+
+
+def main_parts(rows: DataFrame, group: str) -> DataFrame:
+    """(group, main, n_main, n_rest): of each group's parts the one with most classes, and how many are in it and not."""
+    held = rows.groupBy(group, "part").agg(F.count(F.lit(1)).alias("c"))
+    found = held.groupBy(group).agg(F.max(F.struct("c", "part")).alias("m"), F.sum("c").alias("all"))
+    return found.select(group, F.col("m.part").alias("main"), F.col("m.c").alias("n_main"), (F.col("all") - F.col("m.c")).alias("n_rest"))
+
+
+def blocks(n: str):
+    return F.ceil(F.col(n) / CHECKED).cast("long")
+
+
+def tile_cost():
+    """Rows of a group's tiles: classes of its main part meet the others alone, the others meet all."""
+    return F.col("n_main") * blocks("n_rest") + F.col("n_rest") * (blocks("n_rest") + blocks("n_main"))
 
 
 def tile_links(open_: DataFrame, sets: DataFrame, share: tuple[int, int], work: Workspace) -> DataFrame:
-    """Edges with the components of all pairs of classes that are alike and share a key; open_: (key, class), written.
+    """Edges with the components of all pairs of classes that are alike and share a key; open_: (key, class, part), written.
 
-    All pairs of a key's classes are compared in tiles, or of all classes that keys link, whichever takes fewer rows: many
+    part tells classes that are known to be in one component. The classes of a group, but for pairs of those in its main
+    part, are compared in tiles. A group is a key, or all keys and classes that are linked, whichever takes fewer rows: many
     keys may have nearly the same classes, and many classes may be linked in a chain of keys. Keys with the same classes
     count once.
     """
@@ -350,23 +369,30 @@ def tile_links(open_: DataFrame, sets: DataFrame, share: tuple[int, int], work:
         F.bit_xor(F.xxhash64(F.lit(1), "class")).alias("x"), F.bit_xor(F.xxhash64(F.lit(2), "class")).alias("y"),
     )
     keys = work.write(sign.groupBy("n", "a", "b", "x", "y").agg(F.min("key").alias("key")).select("key", "n"), "open-keys")
-    rows = work.write(join_heavy(open_, keys.withColumn("size", F.col("n")), ["key"]), "open-rows")
+    rows = work.write(join_heavy(open_, keys, ["key"]), "open-rows")
     # Nodes are keys and classes; should two of these be equal, a group is larger.
     found = connected_components(rows.select(F.col("key").alias("a"), F.col("class").alias("b")), work, "families")
-    families = found.withColumnRenamed("node", "class").join(rows.select("class").distinct(), "class").select("class", F.col("component").alias("family"))
-    families = work.write(families, "families-of")
-
-    def cost(n):
-        return n * F.ceil(n / CHECKED)
-
-    whole = families.groupBy("family").agg(F.count(F.lit(1)).alias("n"))
-    by_key = keys.join(found.withColumnRenamed("node", "key"), "key").groupBy(F.col("component").alias("family")).agg(F.sum(cost(F.col("n"))).alias("cost"))
-    costs = work.write(whole.join(by_key, "family").withColumn("size", F.col("n")).withColumn("by_key", F.col("cost") < cost(F.col("n"))), "costs")
-    placed = work.write(join_heavy(families, costs.drop("cost"), ["family"]), "placed")
-    together = placed.where("not by_key").select("family", "class", "size")
-    apart = rows.join(placed.where("by_key").select("class"), "class").select(F.col("key").alias("family"), "class", "size")
+    family = found.withColumnRenamed("component", "family")
+    families = work.write(family.join(rows.select(F.col("class").alias("node"), "part").distinct(), "node").select(F.col("node").alias("class"), "part", "family"), "families-of")
+    of_keys = work.write(main_parts(rows, "key").withColumn("cost", tile_cost()), "costs-of-keys")
+    by_key = of_keys.join(family.withColumnRenamed("node", "key"), "key").groupBy("family").agg(F.sum("cost").alias("by_key"))
+    costs = main_parts(families, "family").join(by_key, "family").withColumn("apart", F.col("by_key") < tile_cost())
+    costs = work.write(costs.withColumn("n", F.col("n_main") + F.col("n_rest")).drop("by_key"), "costs")
+    placed = work.write(join_heavy(families, costs, ["family"]), "placed")
+    whole = placed.where("not apart").select(F.col("family").alias("grp"), "class", "part", "main", "n_main", "n_rest")
+    sizes = work.write(of_keys.withColumn("n", F.col("n_main") + F.col("n_rest")).drop("cost"), "sizes-of-keys")
+    apart = join_heavy(rows.join(placed.where("apart").select("class"), "class", "left_semi"), sizes, ["key"])
+    both = whole.unionByName(apart.select(F.col("key").alias("grp"), "class", "part", "main", "n_main", "n_rest"))
+    # Blocks of the rest come first; those of the main part after them.
+    hashed = F.xxhash64(F.lit("tile"), "class")
+    rest = F.col("part") != F.col("main")
+    own = F.when(rest, F.pmod(hashed, blocks("n_rest"))).otherwise(blocks("n_rest") + F.pmod(hashed, blocks("n_main")))
+    last = F.when(rest, blocks("n_rest") + blocks("n_main")).otherwise(blocks("n_rest")) - 1
+    # A single one in the rest has no pair in its own block.
+    first = F.when(rest & (F.col("n_rest") == 1), 1).otherwise(0).cast("long")
+    tiles = both.select("grp", "class", own.alias("own"), F.explode(F.sequence(first, last)).alias("other"))
+    tiles = tiles.select(F.col("grp").alias("family"), F.least("own", "other").alias("tile_i"), F.greatest("own", "other").alias("tile_j"), "class")
     keys = ["family", "tile_i", "tile_j"]
-    tiles = deal_tiles(together.unionByName(apart), "family", "size", "class", CHECKED)
     tiles = tiles.join(sets, "class").select(*keys, "class", "shingles").repartition(*keys).sortWithinPartitions(*keys)
     return work.write(tiles.mapInArrow(_verified_tiles(share), "a long, b long"), "tile-links")
 
@@ -379,8 +405,9 @@ def near_copy_groups(
     Texts that are equal are one class; classes are linked if their sets of `width`-word shingles (A-Z lower-cased, a
     shorter text's whole sequence) have at least share[0] / share[1] of their union in common. Compared are all classes
     that share a key: a word fingerprint within the radius for one of WORD_SEEDS, which covering tables find without a
-    miss, or one of BANDS MinHash bands of the `width`-word shingles. Each key's classes are first checked against one of
-    them, exactly, on 32-bit hashes of whole texts' shingles; then all pairs of keys whose classes aren't in one component.
+    miss, or one of BANDS MinHash bands of the `width`-word shingles. Each class is first checked against one that it shares a
+    key with, exactly, on 32-bit hashes of whole texts' shingles; then, of keys whose classes aren't in one component, all
+    pairs but those within the largest part.
     component is the smallest id reachable; text_a and text_b tell equal texts. Null texts are equal, and alike to texts
     without words. Repeated rows give repeated rows; very long texts are hashed in slices; an empty table gives no rows;
     other columns are not read.
@@ -426,25 +453,16 @@ def near_copy_groups(
     # A row may be repeated in docs.
     sets = work.write(fetched.mapInArrow(shingles, "class long, shingles binary").dropDuplicates(["class"]), "sets")
 
-    def parts(links: DataFrame, step: int) -> DataFrame:
-        """(class, part) of all needed classes; written."""
-        found = connected_components(links, work, f"parts-{step}")
-        return work.write(needed.select("class").join(found, F.col("class") == F.col("node"), "left").select("class", F.coalesce("component", "class").alias("part")), f"part-{step}")
-
-    links, open_ = None, shared.select("key", "class", F.col("class").alias("part"))
-    for step in range(STAR_ROUNDS):
-        new = star_links(open_, sets, step, share, work)
-        links = new if links is None else links.unionByName(new)
-        part = parts(links, step)
-        # A key of two classes has been checked; of the others those are left whose classes aren't in one component.
-        rows = work.write((shared.where("n > 2") if not step else open_.drop("part")).select("key", "class").join(part, "class"), f"open-{step}")
-        left = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high")
-        open_ = work.write(join_heavy(rows, work.write(left.select("key", "n"), f"left-{step}"), ["key"]), f"still-{step}")
-        if open_.isEmpty():
-            break
-    else:
-        links = links.unionByName(tile_links(open_.select("key", "class"), sets, share, work))
-    groups = connected_components(work.write(links, "links"), work, "groups")
+    links = star_links(shared, sets, share, work)
+    found = connected_components(links, work, "parts")
+    part = work.write(needed.select("class").join(found, F.col("class") == F.col("node"), "left").select("class", F.coalesce("component", "class").alias("part")), "part")
+    # Keys are left whose classes aren't in one component.
+    rows = work.write(shared.select("key", "class").join(part, "class"), "parts-of-keys")
+    left = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high")
+    open_ = work.write(join_heavy(rows, work.write(left.select("key", "n"), "open-of-keys"), ["key"]), "open", F.count(F.lit(1)).alias("rows"))
+    if open_.marks["rows"]:
+        links = links.unionByName(tile_links(open_, sets, share, work))
+    groups = connected_components(links, work, "groups") if open_.marks["rows"] else found
     linked = work.write(classes.select("class", "text_a", "text_b", "id", "n").join(groups, F.col("class") == F.col("node"), "left").drop("node"), "linked")
     roots = work.write(linked.where("component is not null").groupBy("component").agg(F.min("id").alias("root"), F.count(F.lit(1)).alias("n")), "roots")
     named = join_heavy(linked.withColumnRenamed("n", "rows"), roots, ["component"], "left")
