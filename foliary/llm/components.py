@@ -56,13 +56,16 @@ def connected_components(edges: DataFrame, work: Workspace, tag: str = "cc") ->
     of a hub.
     """
     clean = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a is not null and b is not null and a <> b")
-    marks = F.count(F.lit(1)).alias("edges"), F.sum(F.shiftright(F.xxhash64("a", "b"), 20)).alias("hash")
-    now = work.write(clean.mapInArrow(_shrink, "a long, b long").distinct(), f"{tag}-0", *marks)
+    now = work.write(clean.mapInArrow(_shrink, "a long, b long").distinct(), f"{tag}-0")
+    # The largest number of neighbours of a node that has a smaller one: if it is 1, all are stars around their least nodes.
+    tangled = F.max(F.when(F.col("m") < F.col("a"), F.col("n"))).alias("tangled")
     step = 0
-    while now.marks["edges"]:
+    while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"), F.count(F.lit(1)).alias("n"))
-        least = work.write(least, f"{tag}-least-{step}")
+        least = work.write(least, f"{tag}-least-{step}", tangled)
+        if (least.marks["tangled"] or 0) <= 1:
+            break
         large = join_heavy(both, least, ["a"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = work.write(large, f"{tag}-large-{step}")
         root = work.write(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")), f"{tag}-root-{step}")
@@ -72,11 +75,8 @@ def connected_components(edges: DataFrame, work: Workspace, tag: str = "cc") ->
             .distinct()
         )
         step += 1
-        before, now = now.marks, work.write(small, f"{tag}-{step}", *marks)
+        now = work.write(small, f"{tag}-{step}")
         work.drop(*[f"{tag}-{x}{step - 1}" for x in ("", "least-", "large-", "root-")])
-        # The same edges as before: a chance equality would need equal counts and sums of hashes.
-        if now.marks == before:
-            break
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )

@@ -35,6 +35,13 @@ def test_equals_union_find(spark, monkeypatch, chunk):
     assert got == {k: v for k, v in roots([(a, b) for a, b in edges if a != b]).items()}
 
 
+def test_edges_that_share_their_larger_end(spark):
+    # One edge in each partition, so that none is joined with another before the first round.
+    edges = spark.createDataFrame([(3, 1), (3, 2), (9, 7), (8, 7), (9, 6)], "a long, b long").repartition(5, "a", "b")
+    got = {r["node"]: r["component"] for r in C.connected_components(edges, Workspace(spark, "t")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 6: 6, 7: 6, 8: 6, 9: 6}
+
+
 def test_no_edges(spark):
     assert C.connected_components(spark.createDataFrame([], "a long, b long"), Workspace(spark, "t")).count() == 0
 
