@@ -219,7 +219,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def collected(rows: DataFrame, most: int) -> np.ndarray:
         found = rows.mapInArrow(run, "x binary").limit(2 * most).toArrow()
-        return np.frombuffer(b"".join(found.column("x").to_pylist()), np.float32).reshape(-1, WIDTH)
+        # In an order of their own, as tasks end in any: the same tables give the same model.
+        return np.frombuffer(b"".join(sorted(found.column("x").to_pylist())), np.float32).reshape(-1, WIDTH)
 
     # trusted is a sample of some FIT_POSITIVES ids, which judged has once each.
     positive = collected(texts.join(F.broadcast(trusted.limit(2 * FIT_POSITIVES)), "doc").select("t"), FIT_POSITIVES)
