@@ -150,3 +150,21 @@ def in_box(x: Column, y: Column, box: tuple[Column, Column, Column, Column]) ->
     """Left and top belong to a box (top, left, bottom, right), bottom and right don't."""
     top, left, bottom, right = box
     return (x >= left) & (x < right) & (y >= top) & (y < bottom)
+
+
+def zoomed(corners: Column, zoom: Column) -> Column:
+    """Corners on a page that is shown at a zoom, as places on the page itself."""
+    return F.transform(corners, lambda p: F.struct((p["x"] / zoom).alias("x"), (p["y"] / zoom).alias("y")))
+
+
+def in_ring(x: Column, y: Column, ring: Column) -> Column:
+    """Is the point in a polygon, array<struct<x, y>>: an odd number of its edges lies at or left of it."""
+    size = F.size(ring)
+
+    def met(p, i):
+        q = F.get(ring, (i + 1) % size)
+        at = p["x"] + (y - p["y"]) / F.nullif(q["y"] - p["y"], F.lit(0.0)) * (q["x"] - p["x"])
+        return ((p["y"] <= y) != (q["y"] <= y)) & (at <= x)
+
+    edges = F.transform(ring, lambda p, i: F.when(met(p, i), 1))
+    return F.size(F.filter(edges, lambda e: e.isNotNull())) % 2 == 1

@@ -32,6 +32,18 @@ def image_from_tensor(pixels: np.ndarray, order: str) -> np.ndarray:
     return hwc
 
 
+def image_from_buffer(data: bytes, width: int, height: int, order: str = "HWC", dtype: str = "uint8") -> np.ndarray:
+    """[h, w, c] of the bytes or float32 of a tensor; the channel count follows from the length."""
+    if order not in ("HWC", "CHW") or dtype not in ("uint8", "float32"):
+        raise ImageSourceError("UnsupportedLayout")
+    step = 4 if dtype == "float32" else 1
+    if len(data) % step:
+        raise ImageSourceError("InvalidDataLength")
+    pixels = image_from_bytes(data, width * step, height).reshape(-1)
+    pixels = pixels.view("<f4") if step > 1 else pixels
+    return image_from_tensor(pixels.reshape((-1, height, width) if order == "CHW" else (height, width, -1)), order)
+
+
 def greyscale(image: np.ndarray) -> np.ndarray:
     """[h, w, c] of bytes or of floats in [0, 1] to [h, w] of float32 around BLACK; a fourth channel is left out."""
     weights = np.array(LUMINANCE if image.shape[2] >= 3 else (1.0,), np.float32)

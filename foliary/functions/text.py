@@ -1,4 +1,4 @@
-"""Text items as columns: characters, words and lines with boxes. All narrow: no shuffle; only line_words uses Arrow batches."""
+"""Text items as columns: characters, words and lines with boxes. All narrow: no shuffle; only line_words and rotated_rect use Arrow batches."""
 
 from __future__ import annotations
 
@@ -7,7 +7,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, FloatType, IntegerType, StringType, StructField, StructType
+
+from foliary.functions import geometry as G
 
 #: Size of a character's box on the grid that plain text is laid out on.
 CHAR_WIDTH, CHAR_HEIGHT = 10, 25
@@ -91,6 +93,55 @@ def line_words(lines: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(kept, pa.int32()), words, mask=pc.is_null(lines))
 
 
+BOX = StructType([StructField(f, FloatType()) for f in G.BOX_FIELDS])
+
+
+@F.arrow_udf(BOX)
+def rotated_rect(points: pa.Array) -> pa.Array:
+    """The box of least area around each row's corners, array<struct<x, y>>, its up axis as near to upwards as it can be.
+
+    Null without an area. Of items that share a line, give the corners of all.
+    """
+    if isinstance(points, pa.ChunkedArray):
+        points = points.combine_chunks()
+    flat = points.flatten()
+    xy = np.stack([flat.field(c).to_numpy(zero_copy_only=False).astype(float) for c in ("x", "y")], axis=1)
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(points), 0).to_numpy())
+    boxes = [G.smallest_box(part) for part in np.split(xy, ends[:-1])] if len(ends) else []
+    rows = [None if b is None else dict(zip(G.BOX_FIELDS, map(float, b), strict=True)) for b in boxes]
+    return pa.array(rows, pa.struct([(f, pa.float32()) for f in G.BOX_FIELDS]))
+
+
+def text_or_empty(text: Column) -> Column:
+    """The text of a line, empty where nothing was read."""
+    return F.coalesce(text, F.lit(""))
+
+
+def words_or_empty(words: Column) -> Column:
+    """The words of a line, none where nothing was read."""
+    return F.coalesce(words, F.array())
+
+
+def by_width(lines: Column) -> Column:
+    """Lines, array<struct<rect, ...>>, from narrow to wide; equal ones keep their order."""
+    width = F.transform(lines, lambda x, i: F.struct((x["rect"]["right"] - x["rect"]["left"]).alias("w"), i.alias("i"), x.alias("x")))
+    return F.transform(F.array_sort(width), lambda x: x["x"])
+
+
+def upright_tree(lines: Column, texts: bool = False) -> Column:
+    """JSON of lines, array<struct<text, words>>: each word's [left, top, right, bottom], and the texts if wanted."""
+
+    def word(w):
+        rect = F.array(*[w["rect"][side] for side in ("left", "top", "right", "bottom")]).alias("rect")
+        return F.struct(w["text"].alias("text"), rect) if texts else F.struct(rect)
+
+    def line(x):
+        words = F.transform(words_or_empty(x["words"]), word).alias("words")
+        return F.struct(text_or_empty(x["text"]).alias("text"), words) if texts else F.struct(words)
+
+    return F.to_json(F.struct(F.transform(lines, line).alias("lines")))
+
+
 def lines_of(text: Column) -> Column:
     """Lines of a document; null for the empty ones, which keep their place."""
     return F.transform(F.split(text, "\n"), lambda x: F.when(F.length(x) > 0, x))

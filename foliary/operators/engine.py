@@ -1,7 +1,8 @@
 """Text of images as DataFrames: each step takes and returns one, and may be used alone.
 
-Pages are rows until words are found; then words, lines and line images are. A line image, not the page, travels to the
-recogniser. Lines without text keep their row, with nulls, until the output.
+A page is a row until its line images are cut, which then are rows. get_text does so in the task that has the page;
+of the single steps, line_images moves a page's pixels to its lines once. Lines without text keep their row, with nulls,
+until the output.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliary.functions import arrays as A
@@ -25,6 +26,9 @@ BOX = "struct<cx:float,cy:float,ux:float,uy:float,w:float,h:float>"
 RECT = "struct<top:int,left:int,bottom:int,right:int>"
 CHARS = f"array<struct<ch:string,rect:{RECT}>>"
 FIELDS = ["cx", "cy", "ux", "uy", "w", "h"]
+LINE_IMAGES = "line_idx int, ring array<int>, width int, group_width int, image binary"
+#: Bytes of line images that a task keeps until it has enough of one width.
+HELD = 1 << 26
 
 
 @dataclass(frozen=True)
@@ -42,15 +46,18 @@ class PageReader:
     def prepare_input(self, images: DataFrame) -> DataFrame:
         """images (image_id, data binary, width, height) to (image_id, height, width, grey, error).
 
-        data holds rows of interleaved bytes. What isn't an image of 1, 3 or 4 channels has a null grey and an error.
+        data holds rows of interleaved bytes; with a column order, "CHW" stands for a plane for each channel, and with a
+        column dtype, "float32" for little-endian floats in [0, 1]; null in these is "HWC" and "uint8". What isn't an
+        image of 1, 3 or 4 channels has a null grey and an error.
         """
+        names = ["image_id", "data", "width", "height", "order", "dtype"]
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 grey, error = [], []
-                for data, width, height in zip(b["data"], b["width"], b["height"], strict=True):
+                for _, data, width, height, order, dtype in zip(*[b[c] for c in names], strict=True):
                     try:
-                        image = raster.image_from_bytes(bytes(data), int(width), int(height))
+                        image = raster.image_from_buffer(bytes(data), int(width), int(height), order or "HWC", dtype or "uint8")
                         grey.append(raster.greyscale(image).astype("<f4").tobytes())
                         error.append(None)
                     except (raster.ImageSourceError, TypeError, ValueError) as e:
@@ -58,7 +65,9 @@ class PageReader:
                         error.append(str(e))
                 yield pd.DataFrame({"image_id": b["image_id"], "height": b["height"], "width": b["width"], "grey": grey, "error": error})
 
-        kept = images.select("image_id", F.col("data"), F.col("width").cast("int"), F.col("height").cast("int"))
+        absent = F.lit(None).cast("string")
+        layout_of = [F.col(c) if c in images.columns else absent.alias(c) for c in ("order", "dtype")]
+        kept = images.select("image_id", F.col("data"), F.col("width").cast("int"), F.col("height").cast("int"), *layout_of)
         kind = kept.schema["image_id"].dataType.simpleString()
         return kept.mapInPandas(run, f"image_id {kind}, height int, width int, grey binary, error string")
 
@@ -115,56 +124,114 @@ class PageReader:
         return pages.mapInArrow(run, f"image_id {self._key(words)}, para_idx int, line_idx int, words array<{BOX}>")
 
     def line_images(self, inputs: DataFrame, lines: DataFrame) -> DataFrame:
-        """(image_id, line_idx, ring, width, group_width, image): each line's polygon and its pixels at the model's height."""
+        """(image_id, line_idx, ring, width, group_width, image): each line's polygon and its pixels at the model's height.
+
+        A line without words, or of a page without pixels, keeps its row with nulls. The lines of a page are one row when
+        they meet its pixels, so these are moved once.
+        """
         height = recognition.line_height(self._need(self.recognition, "recognition"))
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                rows = []
-                for r in b.itertuples():
-                    boxes = np.array([[w[f] for f in FIELDS] for w in r.words], np.float32)
-                    rect = layout.G.union(layout.G.bounds(boxes))
-                    ring = recognition.line_polygon(boxes)
-                    width = recognition.resized_width(rect[3] - rect[1], rect[2] - rect[0], height)
-                    image = recognition.line_image(_grey(r), ring, height, width)
-                    rows.append((r.image_id, r.line_idx, ring.flatten().tolist(), width, recognition.group_width(width), image.astype("<f4").tobytes()))
-                yield pd.DataFrame(rows, columns=["image_id", "line_idx", "ring", "width", "group_width", "image"])
-
-        pages = inputs.where("grey is not null").select("image_id", "height", F.col("width").alias("width"), "grey")
-        rows = lines.where("size(words) > 0").select("image_id", "line_idx", "words").join(pages, "image_id")
-        return rows.mapInPandas(run, f"image_id {self._key(lines)}, line_idx int, ring array<int>, width int, group_width int, image binary")
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids, pages = batch.column("image_id"), _greys(batch)
+                for k, (grey, lines) in enumerate(zip(pages, batch.column("lines"), strict=True)):
+                    found = []
+                    for line in lines.as_py():
+                        boxes = np.array([[w[f] for f in FIELDS] for w in line["words"] or []], np.float32)
+                        found.append((line["line_idx"], *_cut(grey, boxes, height)))
+                    yield _line_batch(ids, k, found)
+
+        whole = lines.groupBy("image_id").agg(F.collect_list(F.struct("line_idx", "words")).alias("lines"))
+        rows = whole.join(inputs.select("image_id", "height", "grey"), "image_id", "left")
+        return rows.select("image_id", "height", "grey", "lines").mapInArrow(run, f"image_id {self._key(lines)}, {LINE_IMAGES}")
+
+    def page_lines(self, inputs: DataFrame) -> DataFrame:
+        """line_images of the lines that are found on each page, all of a page's steps in one task: no pixels are shuffled.
+
+        A page without lines, or without pixels, has one row of nulls.
+        """
+        detector, threshold, area = self._need(self.detection, "detection"), self.text_threshold, self.min_area
+        height = recognition.line_height(self._need(self.recognition, "recognition"))
 
-    def recognize_text(self, inputs: DataFrame, lines: DataFrame) -> DataFrame:
-        """(image_id, line_idx, text, chars): a row for each line; text and chars are null where nothing was read."""
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids = batch.column("image_id")
+                for k, grey in enumerate(_greys(batch)):
+                    found = []
+                    if grey is not None:
+                        boxes = components.word_boxes(recognition.text_pixels(detector, grey).astype(np.float32) > threshold, area)
+                        found = [(line, *_cut(grey, boxes[words], height)) for _, line, words in layout.reading_order(boxes)]
+                    yield _line_batch(ids, k, found or [(None,) * 5])
+
+        return inputs.select("image_id", "height", "grey").mapInArrow(run, f"image_id {self._key(inputs)}, {LINE_IMAGES}")
+
+    def read_line_images(self, images: DataFrame) -> DataFrame:
+        """line_images to (image_id, line_idx, text, chars); text and chars are null where nothing was read.
+
+        Lines of like width are read together, whichever pages of a task they are of; a line's result doesn't depend on
+        the others. No more than HELD bytes of lines wait for others of their width.
+        """
         model, alphabet, beam = self._need(self.recognition, "recognition"), self.alphabet, self.beam
         height, excluded = recognition.line_height(model), A.excluded_labels(alphabet, self.allowed_chars)
 
-        def run(batch: pd.DataFrame) -> pd.DataFrame:
-            batch = batch.sort_values("line_idx", kind="stable")
-            images = [np.frombuffer(i, "<f4").reshape(height, w) for i, w in zip(batch["image"], batch["width"], strict=True)]
-            wide = int(batch["group_width"].iloc[0])
+        def read(rows: list[tuple], wide: int) -> list[tuple]:
+            images = [np.frombuffer(r[4], "<f4").reshape(height, r[3]) for r in rows]
             scores = recognition.recognise(model, recognition.stack_lines(images, wide), len(alphabet) + 1)
-            rows = []
-            for r, s in zip(batch.itertuples(), scores, strict=True):
+            out = []
+            for (image_id, line, ring, width, _), s in zip(rows, scores, strict=True):
                 steps = recognition.decode(s, excluded, beam)
-                chars = recognition.place_characters(steps, np.array(r.ring).reshape(-1, 2), r.width, wide, len(s), alphabet)
+                chars = recognition.place_characters(steps, np.array(ring).reshape(-1, 2), width, wide, len(s), alphabet)
                 boxes = [{"ch": c, "rect": dict(zip(("top", "left", "bottom", "right"), b, strict=True)) if b else None} for c, b in chars]
-                rows.append((r.image_id, r.line_idx, boxes))
-            return pd.DataFrame(rows, columns=["image_id", "line_idx", "found"])
+                out.append((image_id, line, boxes or None))
+            return out
 
-        place = F.row_number().over(Window.partitionBy("image_id", "group_width").orderBy("line_idx"))
-        batches = self.line_images(inputs, lines).withColumn("batch_no", F.floor((place - 1) / A.BATCH_ROWS).cast("int"))
-        read = batches.groupBy("image_id", "group_width", "batch_no").applyInPandas(run, f"image_id {self._key(lines)}, line_idx int, found {CHARS}")
-        chars = F.when(F.size("found") > 0, F.col("found"))
-        return lines.select("image_id", "line_idx").join(read, ["image_id", "line_idx"], "left").select(
-            "image_id", "line_idx", F.when(chars.isNotNull(), T.text_of(chars)).alias("text"), chars.alias("chars")
-        )
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            waiting: dict[int, list[tuple]] = {}
+            for batch in batches:
+                done = []
+                kind = batch.column("image_id").type
+                columns = [batch.column(c).to_pylist() for c in ("image_id", "line_idx", "ring", "width", "image", "group_width")]
+                for *row, wide in zip(*columns, strict=True):
+                    if wide is None:
+                        done.append((*row[:2], None))
+                        continue
+                    waiting.setdefault(wide, []).append(tuple(row))
+                    if len(waiting[wide]) == A.BATCH_ROWS:
+                        done += read(waiting.pop(wide), wide)
+                    while sum(w * len(rows) for w, rows in waiting.items()) * height * 4 > HELD:
+                        most = max(waiting, key=lambda w: w * len(waiting[w]))
+                        done += read(waiting.pop(most), most)
+                yield _read_batch(done, kind)
+            for wide, rows in waiting.items():
+                yield _read_batch(read(rows, wide), kind)
+
+        found = images.select("image_id", "line_idx", "ring", "width", "group_width", "image")
+        read_rows = found.mapInArrow(run, f"image_id {self._key(images)}, line_idx int, chars {CHARS}")
+        return read_rows.select("image_id", "line_idx", F.when(F.col("chars").isNotNull(), T.text_of(F.col("chars"))).alias("text"), "chars")
+
+    def recognize_text(self, inputs: DataFrame, lines: DataFrame) -> DataFrame:
+        """(image_id, line_idx, text, chars): a row for each line; text and chars are null where nothing was read."""
+        return self.read_line_images(self.line_images(inputs, lines))
 
     def get_text(self, images: DataFrame) -> DataFrame:
-        """images to (image_id, text): lines in reading order, joined by newlines; empty where nothing was read."""
-        inputs = self.prepare_input(images)
-        read = self.recognize_text(inputs, self.find_text_lines(self.detect_words(inputs)))
-        return images.select("image_id").join(join_text(read), "image_id", "left").select("image_id", F.coalesce("text", F.lit("")).alias("text"))
+        """images to (image_id, text): lines in reading order, joined by newlines; empty where nothing was read.
+
+        Only texts are shuffled. image_id names a page: rows of one id have one text.
+        """
+        return join_text(self.read_line_images(self.page_lines(self.prepare_input(images))))
+
+    def get_text_lines(self, images: DataFrame) -> DataFrame:
+        """images to (image_id, lines): array of (text, chars) in reading order, as null members where nothing was read."""
+        read = self.read_line_images(self.page_lines(self.prepare_input(images)))
+        line = F.struct("line_idx", F.when(F.col("text").isNotNull(), F.struct("text", "chars")).alias("line"))
+        lines = F.array_sort(F.collect_list(F.when(F.col("line_idx").isNotNull(), line)))
+        return read.groupBy("image_id").agg(F.transform(lines, lambda x: x["line"]).alias("lines"))
+
+    def recognition_input(self, grey: np.ndarray, boxes: np.ndarray) -> np.ndarray:
+        """What recognition sees of one line: its [height, width] image. For looking into what was read wrongly."""
+        height = recognition.line_height(self._need(self.recognition, "recognition"))
+        _, width, _, image = _cut(grey, np.asarray(boxes, np.float32), height)
+        return np.frombuffer(image, "<f4").reshape(height, width)
 
     @staticmethod
     def _need(model: Model | None, name: str) -> Model:
@@ -191,6 +258,36 @@ def _grey(row) -> np.ndarray:
     return np.frombuffer(row.grey, "<f4").reshape(row.height, size // row.height)
 
 
+def _greys(batch: pa.RecordBatch) -> Iterator[np.ndarray | None]:
+    """The pixels of each page of a batch, as they lie in it; None without any."""
+    for height, grey in zip(batch.column("height").to_pylist(), batch.column("grey"), strict=True):
+        yield np.frombuffer(grey.as_buffer(), "<f4").reshape(height, -1) if grey.is_valid and height else None
+
+
+def _cut(grey: np.ndarray | None, boxes: np.ndarray, height: int) -> tuple:
+    """(ring, width, group_width, image) of a line of boxes, all None without boxes or pixels."""
+    if grey is None or not len(boxes):
+        return (None,) * 4
+    top, left, bottom, right = layout.G.union(layout.G.bounds(boxes))
+    ring = recognition.line_polygon(boxes)
+    width = recognition.resized_width(right - left, bottom - top, height)
+    image = recognition.line_image(grey, ring, height, width).astype("<f4").tobytes()
+    return ring.flatten().tolist(), width, recognition.group_width(width), image
+
+
+def _line_batch(ids: pa.Array, page: int, lines: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.binary()]
+    columns = [pa.array(c, k) for c, k in zip(zip(*lines, strict=True), kinds, strict=True)]
+    pages = ids.take(pa.array([page] * len(lines), pa.int64()))
+    return pa.RecordBatch.from_arrays([pages, *columns], names=["image_id", "line_idx", "ring", "width", "group_width", "image"])
+
+
+def _read_batch(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    rect = pa.struct([(side, pa.int32()) for side in ("top", "left", "bottom", "right")])
+    kinds = [kind, pa.int32(), pa.list_(pa.struct([("ch", pa.string()), ("rect", rect)]))]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["image_id", "line_idx", "chars"])
+
+
 def join_text(read: DataFrame) -> DataFrame:
     """(image_id, line_idx, text) to (image_id, text)."""
     lines = F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("line_idx", "text"))))

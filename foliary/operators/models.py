@@ -1,4 +1,4 @@
-"""Models are plugged in: anything with input_shape and run. They travel to tasks by pickle, or as a path to load there."""
+"""Models are plugged in: anything with input_shape and run. They travel to tasks by pickle: as bytes, or as a path to load there."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
+from pyspark import SparkFiles
+from pyspark.sql import SparkSession
 
 
 class Model(Protocol):
@@ -25,28 +27,44 @@ class WrongOutput(ModelRunError):
 
 
 @lru_cache(8)
-def _session(path: str):
+def _session(source: str | bytes):
     import onnxruntime
 
     options = onnxruntime.SessionOptions()
     options.intra_op_num_threads = 1  # tasks are what runs side by side
-    return onnxruntime.InferenceSession(path, options, providers=["CPUExecutionProvider"])
+    return onnxruntime.InferenceSession(source, options, providers=["CPUExecutionProvider"])
 
 
 class OnnxModel:
-    """An ONNX file that every executor can read; loaded once in each Python worker."""
+    """An ONNX model: a file that every executor can read, or its bytes; loaded once in each Python worker."""
 
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, source: str | bytes):
+        self.source = source
+
+    @classmethod
+    def from_url(cls, spark: SparkSession, url: str) -> FetchedModel:
+        """The model at a URL, which Spark fetches once for each executor."""
+        spark.sparkContext.addFile(url)
+        return FetchedModel(url.split("?")[0].split("#")[0].rstrip("/").rsplit("/", 1)[-1])
+
+    def session(self):
+        return _session(self.source)
 
     def input_shape(self) -> list[int | str]:
-        return [x if isinstance(x, int) else str(x) for x in _session(self.path).get_inputs()[0].shape]
+        return [x if isinstance(x, int) else str(x) for x in self.session().get_inputs()[0].shape]
 
     def run(self, tensor: np.ndarray) -> np.ndarray:
-        session = _session(self.path)
+        session = self.session()
         return session.run(None, {session.get_inputs()[0].name: tensor})[0]
 
 
+class FetchedModel(OnnxModel):
+    """A model that Spark has fetched: its file is where each executor keeps such files."""
+
+    def session(self):
+        return _session(SparkFiles.get(self.source))
+
+
 class StandInDetector:
     """For tests: the text probability of a pixel is its brightness. It doesn't detect text."""
 

@@ -18,8 +18,10 @@ from foliary.functions import arrays as A
 from foliary.functions import ctc
 from foliary.functions import text as T
 from foliary.operators.components import label_regions
+from foliary.operators import expected
 from foliary.operators.engine import PageReader, spread
-from foliary.operators.layout import empty_rects, without_overlaps
+from foliary.operators.layout import MAX_SEPARATORS, empty_rects, without_overlaps
+from foliary.streaming.requests import line_states
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -441,7 +443,7 @@ def q30_text_lines_layout(spark, sf_dir):
 
 @query()
 def q31_empty_rects(spark, sf_dir):
-    """The largest three empty rectangles of each page, that overlap little."""
+    """The largest empty rectangles of each page that overlap little, as many as layout takes for separators."""
 
     def run(batches):
         for batch in batches:
@@ -450,7 +452,7 @@ def q31_empty_rects(spark, sf_dir):
                 box = np.array([[w["top"], w["left"], w["bottom"], w["right"]] for w in words])
                 rects = np.concatenate([np.floor(box[:, :2]), np.ceil(box[:, 2:])], axis=1).astype(int)
                 bounds = (*rects[:, :2].min(axis=0), *rects[:, 2:].max(axis=0))
-                found = islice(without_overlaps(empty_rects(rects, bounds, lambda w, h: w * h, 5, 5)), 3)
+                found = islice(without_overlaps(empty_rects(rects, bounds, lambda w, h: w * h, 5, 5)), MAX_SEPARATORS)
                 rows += [(page, k, *r) for k, r in enumerate(found)]
             yield pd.DataFrame(rows, columns=["page", "rank", "top", "left", "bottom", "right"])
 
@@ -486,3 +488,107 @@ def q34_rect_grid(spark, sf_dir):
     grid = rows.select(F.explode(F.sequence(F.lit(0), F.col("r"))).alias("row"), "c").select("row", F.explode(F.sequence(F.lit(0), F.col("c"))).alias("column"))
     top, left = F.col("row") * 25 + 30, F.col("column") * 70
     return grid.select("row", "column", top.alias("top"), left.alias("left"), (top + 20).alias("bottom"), (left + 50).alias("right"))
+
+
+def line_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, line_idx, rect) of the lines of all documents on the grid."""
+    size = F.length("line")
+    sides = {"top": F.lit(0), "left": F.lit(0), "bottom": F.lit(T.CHAR_HEIGHT), "right": size * T.CHAR_WIDTH}
+    return doc_lines(spark, sf_dir).select("doc_id", "line_idx", F.struct(*[v.alias(k) for k, v in sides.items()]).alias("rect"))
+
+
+def corners(rect) -> F.Column:
+    return A.corners_of(rect["top"], rect["left"], rect["bottom"], rect["right"])
+
+
+@query(f"""WITH {LINES} SELECT doc_id, line_idx, concat_ws(',', 4.0 * length(line), 10.0, 0.0, 10.0, 0.0, 0.0, 4.0 * length(line), 0.0) AS flat,
+    CAST(4.0 * length(line) AS DOUBLE) AS "right", CAST(10 AS DOUBLE) AS bottom FROM lines""")
+def q35_zoomed_corners(spark, sf_dir):
+    rows = line_boxes(spark, sf_dir).select("doc_id", "line_idx", A.zoomed(corners(F.col("rect")), F.lit(2.5)).alias("c"))
+    box = A.upright_box(F.col("c"))
+    flat = F.array_join(F.transform(A.flat_corners(F.col("c")), lambda v: v.cast("decimal(18,1)").cast("string")), ",")
+    return rows.select("doc_id", "line_idx", flat.alias("flat"), box["right"].alias("right"), box["bottom"].alias("bottom"))
+
+
+@query(f"""WITH {LINES} SELECT doc_id, line_idx, CAST(5.0 * length(line) AS DOUBLE) AS cx, CAST(12.5 AS DOUBLE) AS cy, CAST(10 * length(line) AS DOUBLE) AS w, CAST(25 AS DOUBLE) AS h, CAST(-1 AS DOUBLE) AS uy FROM lines""")
+def q36_rotated_rects(spark, sf_dir):
+    rows = line_boxes(spark, sf_dir).select("doc_id", "line_idx", T.rotated_rect(corners(F.col("rect"))).alias("box"))
+    return rows.select("doc_id", "line_idx", *[F.round(F.col(f"box.{f}").cast("double"), 1).alias(f) for f in ("cx", "cy", "w", "h", "uy")])
+
+
+@query(f"""WITH {WORDS}, l AS (SELECT doc_id, line_idx, '{{"words":[' || string_agg('{{"rect":[' || "left" || ',0,' || "right" || ',25]}}', ',' ORDER BY word_idx) || ']}}' AS j FROM words GROUP BY ALL),
+    every AS (SELECT doc_id, line_idx, coalesce(j, '{{"words":[]}}') AS j FROM lines LEFT JOIN l USING (doc_id, line_idx))
+    SELECT doc_id, '{{"lines":[' || coalesce(string_agg(j, ',' ORDER BY line_idx), '') || ']}}' AS document FROM documents LEFT JOIN every USING (doc_id) GROUP BY doc_id""")
+def q37_upright_json(spark, sf_dir):
+    lines = doc_words(spark, sf_dir).withColumn("line", F.struct("line_idx", F.lit(None).cast("string").alias("text"), F.col("words")))
+    pages = lines.groupBy("doc_id").agg(F.array_sort(F.collect_list("line")).alias("lines"))
+    met = load(spark, sf_dir, "documents").select("doc_id").join(pages, "doc_id", "left")
+    return met.select("doc_id", T.upright_tree(F.coalesce("lines", F.array())).alias("document"))
+
+
+@query(f"""WITH {PAGES}, pts AS (SELECT event_id, user_id AS page, trunc(value) AS x, CAST(30 * (1 + event_id % 7) + event_id % 11 AS DOUBLE) AS y FROM events)
+    SELECT event_id, CAST(coalesce(min(rn), -1) AS INTEGER) AS line FROM pts LEFT JOIN words w
+    ON w.page = pts.page AND y >= w.top AND y < w.bottom AND x >= w."left" AND x < w."right" + (y - w.top) / (w.bottom - w.top) * (w."left" - w."right") GROUP BY event_id""")
+def q38_point_in_polygon(spark, sf_dir):
+    """The first line whose polygon, here the upper left half of a word's box, has the point in it."""
+    points = load(spark, sf_dir, "events").select(
+        "event_id", F.col("user_id").alias("image"), F.floor("value").cast("double").alias("x"), (30 * (1 + F.col("event_id") % 7) + F.col("event_id") % 11).cast("double").alias("y")
+    )
+    ring = F.array(*[F.struct(F.col(x).alias("x"), F.col(y).alias("y")) for x, y in (("left", "top"), ("right", "top"), ("left", "bottom"))])
+    met = points.join(page_words(spark, sf_dir), (F.col("page") == F.col("image")) & A.in_ring(F.col("x"), F.col("y"), ring), "left")
+    return met.groupBy("event_id").agg(F.coalesce(F.min("rn"), F.lit(-1)).alias("line"))
+
+
+@query(f"""WITH {LINES} SELECT doc_id, line_idx, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY length(line), line_idx) - 1 AS INTEGER) AS place FROM lines""")
+def q39_lines_by_width(spark, sf_dir):
+    lines = line_boxes(spark, sf_dir).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_idx", "rect"))).alias("lines"))
+    return lines.select("doc_id", F.posexplode(T.by_width(F.col("lines"))).alias("place", "line")).select("doc_id", F.col("line.line_idx").alias("line_idx"), "place")
+
+
+@query("""WITH t AS (SELECT source, trim(array_to_string(list_filter(string_split(text, chr(10)), lambda x: x <> ''), chr(10)), E' \\t\\n\\r\\f\\v') AS got,
+    trim(text, E' \\t\\n\\r\\f\\v') AS want FROM documents WHERE text IS NOT NULL)
+    SELECT source, count(*) AS n_texts, count(*) FILTER (got <> want) AS n_errors FROM t GROUP BY source""")
+def q40_expected_texts(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents").where("text is not null")
+    read = docs.select("doc_id", T.join_lines(T.lines_of(F.col("text"))).alias("text"))
+    compared = expected.compare(read, docs.select("doc_id", "text"), "doc_id")
+    return expected.error_count(compared.join(docs.select("doc_id", "source"), "doc_id"), "source")
+
+
+@query(f"""WITH {REQUESTS} SELECT image_id, line_idx, CASE WHEN bool_or(event_type = 'purchase') THEN 'done' WHEN bool_or(event_type = 'click') THEN 'pending' ELSE 'absent' END AS state,
+    min(event_id) FILTER (event_type = 'purchase') AS result FROM r GROUP BY image_id, line_idx""")
+def q41_line_states(spark, sf_dir):
+    rows = requests(spark, sf_dir)
+    done = rows.where("event_type = 'purchase'").groupBy("image_id", "line_idx").agg(F.min("event_id").alias("event_id"))
+    asked = rows.where("event_type = 'click'").withColumn("method", F.lit("recognizeText"))
+    states = line_states(rows.select("image_id", "line_idx").distinct(), asked, done)
+    return states.select("image_id", "line_idx", "state", F.col("result.event_id").alias("result"))
+
+
+@query("""WITH l AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS line_idx, list_extract(ls, i) AS text FROM (
+        SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)))
+    SELECT doc_id, line_idx, text, CAST(len(list_filter(string_split(text, ' '), lambda w: w <> '')) AS INTEGER) AS n_words FROM l""")
+def q42_accessors(spark, sf_dir):
+    lines = load(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.lines_of(F.col("text"))).alias("line_idx", "line"))
+    words = T.words_or_empty(T.line_words(F.col("line")))
+    return lines.select("doc_id", "line_idx", T.text_or_empty(F.col("line")).alias("text"), F.size(words).alias("n_words"))
+
+
+@query("""WITH b AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(trunc(least(greatest(x::DOUBLE + 0.5, 0), 1) * 255) AS INTEGER)) AS b FROM embeddings),
+    p AS (SELECT vec_id, b, unnest(range(0, 16)) AS i FROM b)
+    SELECT vec_id, CAST(i AS INTEGER) AS grey_pixel, CAST(least(6, floor((0.299 * b[i+1] + 0.587 * b[i+17] + 0.114 * b[i+33]) / 255 * 7)) AS INTEGER) AS level FROM p""")
+def q43_prepared_planes(spark, sf_dir):
+    """Greyscale of images of 4 x 4 pixels in four planes, by sevenths."""
+    exported = F.transform("embedding", lambda x: F.lpad(F.hex(A.to_byte(x.cast("double") + 0.5)), 2, "0"))
+    images = load(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("image_id"), F.unhex(F.array_join(exported, "")).alias("data"), F.lit(4).alias("width"), F.lit(4).alias("height"), F.lit("CHW").alias("order")
+    )
+
+    def levels(batches):
+        for b in batches:
+            grey = np.stack([np.frombuffer(g, "<f4") for g in b["grey"]])
+            level = np.minimum(np.floor((grey + 0.5) * 7), 6).astype(int)
+            yield pd.DataFrame({"vec_id": np.repeat(b["image_id"], 16), "grey_pixel": np.tile(np.arange(16), len(b)), "level": level.ravel()})
+
+    inputs = PageReader().prepare_input(images).where("grey is not null")
+    return inputs.select("image_id", "grey").mapInPandas(levels, "vec_id long, grey_pixel int, level int")

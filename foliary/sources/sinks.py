@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from foliary.functions import raster
 from foliary.functions import geometry as G
 
-LINE_COLOUR = (0.9, 0.9, 0.9)
-WORD_COLOURS = ((0.9, 0.2, 0.2), (0.2, 0.9, 0.2), (0.2, 0.2, 0.9))
-READ_COLOURS = ((0.5, 0.0, 0.0), (0.0, 0.5, 0.0), (0.0, 0.0, 0.5))
+# Fixed values of the published pipeline: CSS colours in bytes. Lines; words by line; words that were read, by line.
+LINE_COLOUR = (200, 200, 200)
+WORD_COLOURS = ((255, 127, 80), (143, 188, 143), (100, 149, 237))
+READ_COLOURS = ((220, 20, 60), (0, 100, 0), (0, 0, 139))
 FILES = "path string, data binary"
 
 
@@ -25,16 +26,20 @@ def annotate(image: np.ndarray, lines: list[np.ndarray], read: list[list[tuple[i
     by its place among all lines, so lines without text use one up.
     """
     canvas = image.astype(np.float32) / 255
+
+    def draw(box: np.ndarray, colour: tuple[int, int, int]) -> None:
+        raster.draw_ring(canvas, np.trunc(G.corners(box)), np.array(colour, np.float32) / 255)
+
     for boxes in lines:
-        if len(boxes):
-            ring = G.corners(G.upright(*G.union(G.bounds(boxes))))
-            raster.draw_ring(canvas, ring, LINE_COLOUR)
+        box = G.smallest_box(G.corners(boxes).reshape(-1, 2)) if len(boxes) else None
+        if box is not None:
+            draw(box, LINE_COLOUR)
     for k, boxes in enumerate(lines):
-        for ring in G.corners(boxes):
-            raster.draw_ring(canvas, ring, WORD_COLOURS[k % 3])
+        for box in boxes:
+            draw(box, WORD_COLOURS[k % 3])
     for k, words in enumerate(read):
         for rect in words or []:
-            raster.draw_ring(canvas, G.corners(G.upright(*rect)), READ_COLOURS[k % 3])
+            draw(G.upright(*rect), READ_COLOURS[k % 3])
     return raster.to_bytes(canvas)
 
 

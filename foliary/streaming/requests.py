@@ -38,6 +38,18 @@ def first_results(results: DataFrame) -> DataFrame:
     return results.groupBy(*KEY).agg(first.alias("_r")).select(*KEY, *[F.col(f"_r.{c}").alias(c) for c in names])
 
 
+def line_states(lines: DataFrame, requests: DataFrame, results: DataFrame) -> DataFrame:
+    """lines (image_id, line_idx) with state: done where there is a result, if only a null one, pending where one was asked for, else absent.
+
+    The columns of the line's result come along as result, null without one. requests may name a line often; results has
+    one row for each.
+    """
+    asked = requests.where("method = 'recognizeText'").select(*KEY, F.lit(True).alias("_asked")).distinct()
+    done = results.select(*KEY, F.struct(*[c for c in results.columns if c not in KEY]).alias("result"), F.lit(True).alias("_done"))
+    met = lines.join(done, KEY, "left").join(asked, KEY, "left")
+    return met.withColumn("state", F.when(F.col("_done"), "done").when(F.col("_asked"), "pending").otherwise("absent")).drop("_done", "_asked")
+
+
 def serve(
     spark: SparkSession, requests: DataFrame, read: Callable[[DataFrame], DataFrame], results_path: str, schema: str,
     checkpoint: str, every: str = "100 milliseconds", available_now: bool = False,

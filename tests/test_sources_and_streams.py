@@ -30,7 +30,10 @@ def test_annotated_image_and_files(spark, tmp_path):
     image = np.zeros((64, 64, 3), np.uint8)
     boxes = np.array([G.upright(10, 10, 20, 30)])
     out = sinks.annotate(image, [boxes, boxes], [[(10, 10, 20, 30)], None])
-    assert out.shape == (64, 64, 3) and out.any()
+    assert out.shape == (64, 64, 3) and abs(out[10, 15].astype(int) - sinks.READ_COLOURS[0]).max() <= 1
+    two = np.array([G.upright(10, 10, 20, 30), G.upright(10, 40, 20, 60)])
+    out = sinks.annotate(image, [boxes[:0], two], [None, None]).astype(int)
+    assert abs(out[10, 15] - sinks.WORD_COLOURS[1]).max() <= 1 and abs(out[10, 35] - sinks.LINE_COLOUR).max() <= 1 and not out[15, 35].any()
     maps = spark.createDataFrame([(1, 2, 2, np.array([0.1, 0.3, 0.2, 1], "<f4").tobytes())], "image_id long, height int, width int, probability binary")
     assert sinks.write_files(sinks.probability_files(maps, 0.2), str(tmp_path)) == 1
     assert images.decode_png((tmp_path / "1.png").read_bytes())[..., 0].tolist() == [[0, 255], [0 if np.float32(0.2) <= 0.2 else 255, 255]]
@@ -38,6 +41,14 @@ def test_annotated_image_and_files(spark, tmp_path):
         raster.png(np.zeros((2, 2, 2), np.uint8))
 
 
+def test_rotated_rects_of_items(spark):
+    turned = G.corners(np.array([50, 40, 0.6, -0.8, 30, 10], np.float32))
+    points = [[dict(zip("xy", map(float, p), strict=True)) for p in ring] for ring in (turned, turned[:1], turned[:0])] + [None]
+    df = spark.createDataFrame(list(enumerate(points)), "i int, c array<struct<x:double,y:double>>")
+    got = [r["b"] for r in df.select("i", T.rotated_rect("c").alias("b")).orderBy("i").collect()]
+    assert np.allclose(list(got[0].asDict().values()), [50, 40, 0.6, -0.8, 30, 10], atol=1e-3) and got[1:] == [None] * 3
+
+
 def test_words_are_parted_by_spaces_alone(spark):
     df = spark.createDataFrame([("foo bar  baz ",), ("a\tb c",), ("  ",), ("",)], "line string")
     rows = df.select(T.char_boxes(F.col("line")).alias("c")).select(T.words_of(F.col("c")).alias("w")).collect()
