@@ -156,4 +156,20 @@ ORACLE_SQL: dict[str, str] = {
         SELECT e.vec_id, coalesce(d.n_links, 0) AS n_links, l.component_id, e.vec_id = l.component_id AS kept
         FROM embeddings e JOIN least l ON l.a = e.vec_id LEFT JOIN degree d ON d.a = e.vec_id
     """,
+    "op4_sparse_suffix_dedup": r"""
+        WITH texts AS (
+            SELECT doc_id, row_number() OVER () AS r, list_filter(regexp_split_to_array(text,
+                '[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+'), lambda x: x <> '') AS ws
+            FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL
+        ), words AS (SELECT doc_id, r, unnest(range(len(ws))) AS i, unnest(ws) AS w FROM texts WHERE len(ws) >= 50),
+        runs AS (SELECT doc_id, r, i, list(hash(w)) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING) AS run FROM words),
+        windows AS (SELECT doc_id, i, hash(run) AS h FROM runs WHERE len(run) = 50),
+        shared AS (SELECT h FROM windows GROUP BY h HAVING min(doc_id) < max(doc_id)),
+        starts AS (SELECT DISTINCT doc_id, i FROM windows JOIN shared USING (h)),
+        marked AS (SELECT doc_id, i, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > 50, true) AS opens FROM starts),
+        numbered AS (SELECT doc_id, i, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM marked),
+        spans AS (SELECT doc_id, min(i) AS s, max(i) + 50 AS e FROM numbered GROUP BY doc_id, k)
+        SELECT doc_id, CAST(count(*) AS INTEGER) AS n_spans, CAST(sum(e - s) AS BIGINT) AS n_words, string_agg(s || ':' || e, ',' ORDER BY s) AS spans
+        FROM spans GROUP BY doc_id
+    """,
 }

@@ -59,3 +59,16 @@ def test_every_window_owns_one_suffix():
 
 def test_empty_table(spark):
     assert S.repeated_passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_query_equals_its_sql(spark):
+    import duckdb
+
+    from foliary.llm import queries as Q
+
+    folder, name = "/root/testdata/sf0.001", "op4_sparse_suffix_dedup"
+    tables = duckdb.connect()
+    tables.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    columns = ["doc_id", "n_spans", "n_words", "spans"]
+    want = tables.execute(f"SELECT {', '.join(columns)} FROM ({Q.ORACLE_SQL[name]})").fetchall()
+    assert sorted(want) == sorted(map(tuple, Q.QUERIES[name](spark, folder).select(*columns).collect()))
