@@ -3,17 +3,20 @@
 Spans of a strict format are found by fixed rules and always stay. Looser candidates, and the strict ones with them,
 are put before labelers that vote yes, no or nothing: formats, gazetteers and context. Expectation-maximisation over
 the counts of vote patterns of the whole corpus estimates how reliable each labeler is (Dawid and Skene, 1979), and its
-posteriors train a logistic classifier on features of the span, which decides on the looser candidates.
+posteriors train a logistic classifier on features of the span: its shape, what the labelers saw and, which they don't,
+the word before it as a hashed bucket. The classifier decides on the looser candidates.
 
 Texts are read once. Votes and features are small codes, so what reaches the driver are counts of code pairs: at most
-KINDS x 3^LABELERS x 2^FEATURES rows, whatever the corpus holds.
+KINDS x 72 x 2^FEATURES rows (72 vote patterns can occur), some thousands in practice, whatever the corpus holds.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from itertools import pairwise
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +26,12 @@ from pyspark.sql import functions as F
 from foliary.llm.common import Workspace
 
 #: Kinds in the order of their listing; the first four have fixed rules.
-KINDS = ["email", "ip", "card", "phone", "name", "id"]
-EMAIL, IP, CARD, PHONE, NAME, ID = range(6)
+KINDS = ["email", "ip", "card", "phone", "name", "id", "secret"]
+EMAIL, IP, CARD, PHONE, NAME, ID, SECRET = range(7)
 LABELERS = ["strict", "format", "gazetteer", "context", "border"]
-FEATURES = 8
+#: Bits of a span's features: BITS of yes and no, and those of the bucket of the word before it.
+BITS, BUCKET_BITS = 8, 4
+FEATURES = BITS + BUCKET_BITS
 #: The classifier's probability from which a loose candidate is a span.
 ACCEPT = 0.9
 
@@ -34,13 +39,18 @@ LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012345678
 # The expressions below match what the plain ones match; possessive parts and the look-behind keep them linear.
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 IP_RULE = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
+LAST_WORD = re.compile(r"([^\W\d_]+)[\W\d_]*\Z")
 CARD_RULE = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE_RULE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-ANY_DIGIT = re.compile(r"[0-9]")
+ANY_DIGIT, ANY_LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
 
 LOOSE_EMAIL = re.compile(r"\b[A-Za-z0-9._%+-]{1,64} ?[(\[{](?:at|AT)[)\]}] ?[A-Za-z0-9-]{1,63}(?: ?[(\[{](?:dot|DOT)[)\]}] ?[A-Za-z0-9-]{1,63}|\.[A-Za-z0-9-]{1,63}){1,4}")
+#: Words or numbers with dashes, as in the addresses of pages.
+DASHED = re.compile(r"[a-z]+(?:[-_/=+][a-z0-9]*)+|[0-9]+(?:[-_/=+][0-9]*)*")
 LOOSE_PHONE = re.compile(r"(?<![0-9+.])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])")
 LOOSE_ID = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])|\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b")
+LOOSE_CARD = re.compile(r"(?<![0-9])[0-9]{4}[ ./_\xa0-][0-9]{4}[ ./_\xa0-][0-9]{4}[ ./_\xa0-][0-9]{1,7}(?![0-9])")
+LOOSE_SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+|-----BEGIN [A-Z ]*PRIVATE KEY-----")
 LOOSE_NAME = re.compile(r"[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]{1,20}(?: [A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]{1,20}){1,2}")
 
 #: Frequent given names of the four languages.
@@ -55,15 +65,19 @@ GIVEN_NAMES = frozenset(
 TOP_DOMAINS = frozenset("com org net edu gov info io de fr es uk eu ch at us ca mx".split())
 #: First digits of the large card schemes.
 CARD_HEADS = ("34", "37", "4", "51", "52", "53", "54", "55", "6011", "65")
+#: How the keys of widely used services begin, as they publish it.
+KEY_HEADS = ("AKIA", "ASIA", "ghp_", "gho_", "ghs_", "glpat-", "xoxb-", "xoxp-", "sk-", "sk_live_", "rk_live_", "AIza", "eyJ", "-----BEGIN")
 CUES = {
     EMAIL: re.compile(r"e-?mail|contact|write to|correo|courriel|kontakt", re.I),
     IP: re.compile(r"\bip\b|address|server|host|login|adresse|dirección", re.I),
     CARD: re.compile(r"card|visa|credit|payment|karte|carte|tarjeta", re.I),
     PHONE: re.compile(r"phone|\btel|call|mobile|fax|anruf|appel|llam", re.I),
     NAME: re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Herr|Frau|Mme|Mlle|Sra?|Señora?)\.? $|(?:my name is|signed,?|ich heiße|je m'appelle|me llamo) $"),
+    SECRET: re.compile(r"(?:password|passwd|pwd|secret|token|api[ _-]?key|access[ _-]?key|bearer|credential)s?\W{0,6}$", re.I),
     ID: re.compile(r"\bssn\b|social|iban|account|passport|\bid\b|konto|compte|cuenta", re.I),
 }
 NO_CUES = re.compile(r"version|release|isbn|section|figure|chapter|order no|license|licence|article|serial", re.I)
+SECRET_NO_CUES = re.compile(r"sha-?[0-9]*|md5|checksum|digest|commit|hash|etag|uuid|https?:|www\.", re.I)
 NAME_NO_CUES = re.compile(r"(?:[.!?|:]|^)[\s\"']*$")
 
 
@@ -104,8 +118,8 @@ def digit_spans(text: str) -> Iterator[tuple[int, int, int, bool]]:
         yield IP, m.start(), m.end(), is_ip(m[0])
     for m in CARD_RULE.finditer(text):
         digits = digits_of(m[0])
-        if 13 <= len(digits) <= 19:
-            yield CARD, m.start(), m.end(), luhn(digits)
+        if 13 <= len(digits) <= 19 and luhn(digits):
+            yield CARD, m.start(), m.end(), True
     for m in PHONE_RULE.finditer(text):
         n = len(digits_of(m[0]))
         if 7 <= n <= 17:
@@ -121,6 +135,8 @@ def candidates(text: str) -> list[tuple[int, int, int, bool]]:
         found += [x for x in spans if x[3]]
         loose += [x for x in spans if not x[3]]
         loose += [(PHONE, m.start(), m.end(), False) for m in LOOSE_PHONE.finditer(text)]
+        loose += [(CARD, m.start(), m.end(), False) for m in LOOSE_CARD.finditer(text) if luhn(digits_of(m[0]))]
+        loose += [(SECRET, m.start(), m.end(), False) for m in LOOSE_SECRET.finditer(text) if ANY_DIGIT.search(m[0]) and ANY_LETTER.search(m[0]) or m[0][:5] == "-----"]
         loose += [(ID, m.start(), m.end(), False) for m in LOOSE_ID.finditer(text)]
     if "(" in text or "[" in text or "{" in text:
         loose += [(EMAIL, m.start(), m.end(), False) for m in LOOSE_EMAIL.finditer(text)]
@@ -135,6 +151,12 @@ def candidates(text: str) -> list[tuple[int, int, int, bool]]:
     return sorted(found)
 
 
+def bits_a_character(span: str) -> float:
+    """Entropy of the characters, which is low for words and repeated ones."""
+    n = np.array(list(Counter(span).values())) / len(span)
+    return float(-(n * np.log2(n)).sum())
+
+
 def votes_of(text: str, kind: int, start: int, end: int, strict: bool) -> list[int]:
     """1 yes, 0 no, 2 nothing, by labeler."""
     span, before = text[start:end], text[max(0, start - 40) : start]
@@ -157,17 +179,22 @@ def votes_of(text: str, kind: int, start: int, end: int, strict: bool) -> list[i
         gaze = int(span.split()[0] in GIVEN_NAMES)
     elif kind == ID:
         form = int(not (digits.startswith(("000", "666", "9")) and len(digits) == 9))
+    elif kind == SECRET:
+        form = int(bits_a_character(span) >= 3 and not DASHED.fullmatch(span))
+        gaze = 1 if span.startswith(KEY_HEADS) else 2
     if CUES[kind].search(before):
         context = 1
     else:
-        context = 0 if (NAME_NO_CUES if kind == NAME else NO_CUES).search(before) else 2
+        context = 0 if {NAME: NAME_NO_CUES, SECRET: SECRET_NO_CUES}.get(kind, NO_CUES).search(before) else 2
     glued = (start > 0 and text[start - 1].isalnum()) or (end < len(text) and text[end].isalnum())
     return [int(strict), form, gaze, context, int(not glued)]
 
 
 def features_of(text: str, kind: int, start: int, end: int, votes: list[int]) -> int:
-    """FEATURES bits of a span and what is around it."""
+    """BITS of a span's shape and votes, and above them the bucket of the word before it."""
     span = text[start:end]
+    word = LAST_WORD.search(text, max(0, start - 40), start)
+    bucket = crc32(word[1].lower().encode("utf-8", "surrogatepass")) % ((1 << BUCKET_BITS) - 1) + 1 if word else 0
     bits = [
         len(span) > 16,
         any(c in " .-" for c in span),
@@ -178,7 +205,7 @@ def features_of(text: str, kind: int, start: int, end: int, votes: list[int]) ->
         votes[3] == 1,
         votes[3] == 0,
     ]
-    return sum(bool(b) << i for i, b in enumerate(bits))
+    return sum(bool(b) << i for i, b in enumerate(bits)) | bucket << BITS
 
 
 def code_of(kind: int, votes: list[int], features: int) -> int:
@@ -220,7 +247,9 @@ def train(kind: np.ndarray, features: np.ndarray, target: np.ndarray, n: np.ndar
     """Logistic regression on kind and features, to soft targets; returns the probability of a (kind, features)."""
 
     def design(kind, features):
-        bits = features[:, None] >> np.arange(FEATURES) & 1
+        bits = features[:, None] >> np.arange(BITS) & 1
+        bucket = (features >> BITS)[:, None] == np.arange(1 << BUCKET_BITS)
+        bits = np.concatenate([bits, bucket], axis=1)
         hot = kind[:, None] == np.arange(len(KINDS))
         return np.concatenate([hot, (hot[:, :, None] * bits[:, None, :]).reshape(len(kind), -1)], axis=1).astype(float)
 
@@ -237,8 +266,13 @@ def train(kind: np.ndarray, features: np.ndarray, target: np.ndarray, n: np.ndar
     return lambda k, f: 1 / (1 + np.exp(-(design(k, f) @ w)))
 
 
-def accepted_codes(counts: list[tuple[int, int]]) -> list[int]:
-    """Codes of loose candidates that are spans, from (code, number of candidates) of the corpus."""
+def key_of(kind, code):
+    """What the classifier sees of a code: kind and features. Of numbers, arrays and columns alike."""
+    return kind * (1 << FEATURES) + (code % (1 << FEATURES))
+
+
+def accepted_keys(counts: list[tuple[int, int]]) -> list[int]:
+    """Keys of candidates that are spans, from (code, number of candidates) of the corpus."""
     if not counts:
         return []
     codes, n = np.array(sorted(counts)).T
@@ -248,7 +282,7 @@ def accepted_codes(counts: list[tuple[int, int]]) -> list[int]:
         of = kind == k
         post[of], _ = reliabilities(votes[of], n[of].astype(float))
     chance = train(kind, features, post, n.astype(float))(kind, features)
-    return codes[(chance >= ACCEPT) & (votes[:, 0] != 1)].tolist()
+    return sorted(set(key_of(kind, codes)[chance >= ACCEPT].tolist()))
 
 
 SPAN = "array<struct<kind:int,start:int,end:int,code:int>>"
@@ -285,7 +319,7 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     work = Workspace(docs.sparkSession, "pii")
     found = work.write(find_candidates(docs, id_col, text_col), "candidates")
     counts = found.select(F.explode("found.code").alias("code")).where("code >= 0").groupBy("code").count()
-    accepted = accepted_codes([(r["code"], r["count"]) for r in counts.collect()])
+    accepted = accepted_keys([(r["code"], r["count"]) for r in counts.collect()])
     good = F.array(*map(F.lit, accepted)) if accepted else F.array().cast("array<int>")
 
     def plain(keep):
@@ -293,7 +327,7 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         return F.array_sort(F.array_distinct(F.transform(kept, lambda x: F.struct(x["kind"], x["start"], x["end"]))))
 
     base = plain(lambda x: x["code"] == -1)
-    return found.select("id", base.alias("base"), plain(lambda x: (x["code"] == -1) | F.array_contains(good, x["code"])).alias("spans"))
+    return found.select("id", base.alias("base"), plain(lambda x: (x["code"] == -1) | F.array_contains(good, key_of(x["kind"], x["code"]))).alias("spans"))
 
 
 def listing(spans):
@@ -312,7 +346,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     work = Workspace(docs.sparkSession, "pii")
     codes = find_candidates(docs, id_col, text_col).select(F.explode("found.code").alias("code")).where("code >= 0")
     counts = work.write(codes.groupBy("code").count(), "counts")
-    accepted = frozenset(accepted_codes([(r["code"], r["count"]) for r in counts.collect()]))
+    accepted = frozenset(accepted_keys([(r["code"], r["count"]) for r in counts.collect()]))
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -331,7 +365,7 @@ def redacted(text: str | None, accepted: frozenset[int]) -> str | None:
     for k, s, e, strict in candidates(text):
         if not strict:
             votes = votes_of(text, k, s, e, strict)
-            if code_of(k, votes, features_of(text, k, s, e, votes)) not in accepted:
+            if key_of(k, features_of(text, k, s, e, votes)) not in accepted:
                 continue
         spans.append((s, e, k))
     if not spans:

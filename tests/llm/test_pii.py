@@ -91,3 +91,57 @@ def test_digest(spark):
         text = ",".join(f"{P.KINDS[k]}:{s}:{e}" for k, s, e in want)
         assert r["base_sha256"] == hashlib.sha256(text.encode()).hexdigest()
         assert [r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]] == [sum(k == i for k, _, _ in want) for i in range(4)]
+
+
+def planted():
+    """(text, kind, span) with personal data or secrets, and texts that only look like it with kind None."""
+    rng = random.Random(7)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    of = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    names, last = sorted(P.GIVEN_NAMES), ["Keller", "Moreau", "Baker", "Vega", "Lindt"]
+    out = []
+    for _ in range(150):
+        secret = rng.choice([of("0123456789abcdef", 40), of(letters, 32), "AKIA" + of("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16), "ghp_" + of(letters, 36)])
+        out.append((f"then set {rng.choice(['token', 'api_key', 'password', 'secret'])} = \"{secret}\" and go on", "secret", secret))
+        out.append((f"{rng.choice(['commit', 'sha256 digest', 'checksum'])} {of('0123456789abcdef', 40)} of the file", None, None))
+        out.append((f"see https://example.org/{rng.choice(['how-to-bake-bread-in', 'the_best_places_of'])}-{rng.randrange(1990, 2020)} for more", None, None))
+        name = f"{rng.choice(names)} {rng.choice(last)}"
+        out.append((f"as was said, {rng.choice(['my name is', 'Dr.', 'Mrs.'])} {name}, at the door", "name", name))
+        out.append((f"It was late. {rng.choice(['General Public License', 'Monday Morning', 'Old Town Hall', 'Western Front'])} of it", None, None))
+        number = f"{rng.randrange(100, 665)}-{rng.randrange(10, 99)}-{rng.randrange(1000, 9999)}"
+        out.append((f"her ssn is {number}, she said", "id", number))
+        out.append((f"serial order no {rng.randrange(900, 999)}-{rng.randrange(10, 99)}-{rng.randrange(1000, 9999)} came", None, None))
+        out.append((f"part 4111 1111 1111 {rng.choice([1112, 1113, 1114])} of the list", None, None))
+    return out
+
+
+def test_planted_spans_are_found_and_others_left(spark):
+    rows = planted()
+    docs = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(rows)], "doc_id long, text string")
+    got = {r["id"]: r["spans"] for r in P.find_spans(docs).select("id", "spans").collect()}
+    hit = {k: [0, 0] for k in ("secret", "name", "id")}
+    wrong = 0
+    for i, (text, kind, span) in enumerate(rows):
+        found = [(P.KINDS[x["kind"]], text[x["start"] : x["end"]]) for x in got[i]]
+        if kind:
+            hit[kind][0] += (kind, span) in found
+            hit[kind][1] += 1
+        wrong += len([x for x in found if x != (kind, span)])
+    assert all(a >= 0.9 * b for a, b in hit.values()), hit
+    assert wrong <= 0.1 * sum(a for a, _ in hit.values()), (wrong, hit)
+    clean = {r["doc_id"]: r["text"] for r in P.redact(docs).collect()}
+    assert all((span in clean[i]) == ((kind, span) not in [(P.KINDS[x["kind"]], rows[i][0][x["start"] : x["end"]]) for x in got[i]]) for i, (_, kind, span) in enumerate(rows) if kind)
+
+
+def test_redaction_of_overlaps_repeats_and_empty_tables(spark):
+    rows = [(1, "pay 1.2.3.4 by 4111 1111 1111 1111@b.co now", "k")] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, found string")
+    got = P.redact(docs).collect()
+    assert len(got) == 2 and got[0] == got[1] and got[0]["found"] == "k" and got[0]["text"] == "pay <IP> by <EMAIL> now"
+    assert P.redact(docs.limit(0)).collect() == []
+
+
+def test_long_texts_without_spaces_are_linear():
+    for text in ("aB3" * 200_000, "a-" * 200_000, "1_" * 200_000, "-----BEGIN " * 20_000):
+        for k, s, e, ok in P.candidates(text):
+            P.features_of(text, k, s, e, P.votes_of(text, k, s, e, ok))
