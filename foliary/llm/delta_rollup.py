@@ -62,16 +62,16 @@ class DeltaStore:
             self._fs.delete(self._path(attempt), True)
         return True
 
-    def totals(self) -> DataFrame:
-        """(source, lang, tokenizer, n_docs, n_tokens) of all committed batches; keys that came to nothing are left out."""
-        paths = [f"{self.root}/batches/{b}" for b in self.batches()]
+    def totals(self, batches: list[str] | None = None) -> DataFrame:
+        """(source, lang, tokenizer, n_docs, n_tokens) of all committed batches, or of some; keys that came to nothing are left out."""
+        paths = [f"{self.root}/batches/{b}" for b in self.batches() if batches is None or b in batches]
         rows = self.spark.read.schema(SUMS).parquet(*paths) if paths else self.spark.createDataFrame([], SUMS)
         sums = rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         return sums.where("n_docs <> 0 or n_tokens <> 0")
 
-    def rollup(self) -> DataFrame:
+    def rollup(self, batches: list[str] | None = None) -> DataFrame:
         """Totals by (tokenizer, lang, source), (tokenizer, lang) and (tokenizer); level counts the keys that are summed over."""
-        by = self.totals().groupingSets([["tokenizer", "lang", "source"], ["tokenizer", "lang"], ["tokenizer"]], "tokenizer", "lang", "source")
+        by = self.totals(batches).groupingSets([["tokenizer", "lang", "source"], ["tokenizer", "lang"], ["tokenizer"]], "tokenizer", "lang", "source")
         level = (F.grouping("source") + F.grouping("lang")).cast("int").alias("level")
         return by.agg(level, F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
 

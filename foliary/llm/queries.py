@@ -73,7 +73,10 @@ def op7_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_count_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three batches, the second and third sent twice: all documents; word counts revised to leave out lone marks; later copies gone."""
+    """Three batches, the second and third sent twice: all documents; word counts revised to leave out lone marks; later copies gone.
+
+    n_docs and n_tokens are the totals after all batches, the columns with _loaded those of all documents as they came.
+    """
     work = Workspace(spark, "tokens")
     vocabulary = spark.sparkContext.broadcast(Vocabulary(BYTE_BPE))
     ranks = spark.sparkContext.broadcast(token_ranks(BYTE_BPE_RANKS))
@@ -108,7 +111,12 @@ def op8_token_count_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     for _ in range(2):
         store.commit("revise", delta_rollup.revisions(under(changed, *words), under(changed, *revised)))
         store.commit("copies", delta_rollup.deletes(under(gone, *bpe).unionByName(under(gone, *revised))))
-    return store.rollup()
+    sums = ["n_docs", "n_tokens"]
+    none = [F.lit(0).cast("long").alias(c) for c in sums]
+    keys = ["tokenizer", "lang", "source", "level"]
+    last = store.rollup().select(*keys, *sums, *[c.alias(f"{n}_loaded") for n, c in zip(sums, none, strict=True)])
+    loaded = store.rollup(["load"]).select(*keys, *none, *[F.col(c).alias(f"{c}_loaded") for c in sums])
+    return last.unionByName(loaded).groupBy(*keys).agg(*[F.sum(c).alias(c) for n in sums for c in (n, f"{n}_loaded")])
 
 
 def token_ranks(path: str) -> dict[bytes, int]:

@@ -71,3 +71,12 @@ def test_query_equals_a_recount(spark, tmp_path):
     assert {(r["lang"], r["source"], r["tokenizer"]): (r["n_docs"], r["n_tokens"]) for r in got} == {
         k[:3]: (want[(*k[:3], "docs")], want[(*k[:3], "tokens")]) for k in want
     }
+    loaded = Counter()
+    for _, t, lang, source, _ in rows:
+        loaded[(lang, "byte_bpe_50k/1", 0)] += len(encoding.encode_ordinary(t or ""))
+        loaded[(lang, "words/1", 0)] += len((t or "").split())
+        for name in ("byte_bpe_50k/1", "words/1"):
+            loaded[(lang, name, 1)] += 1
+    assert {(r["lang"], r["tokenizer"]): (r["n_tokens_loaded"], r["n_docs_loaded"]) for r in got} == {
+        k[:2]: (loaded[(*k[:2], 0)], loaded[(*k[:2], 1)]) for k in loaded
+    }
