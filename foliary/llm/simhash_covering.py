@@ -85,25 +85,26 @@ def covering_masks(radius: int, seed: int = 1) -> list[int]:
     return masks
 
 
-def _bucket_stars(radius: int):
-    """Of each tile of a bucket: edges with the same components as its pairs within the radius."""
+def _bucket_stars(radius: int, block: int):
+    """Of each tile of a bucket: edges to the least of each component of its pairs within the radius; bucket if it has several tiles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = ["bucket", "tile_i", "tile_j"]
         for table in complete_groups(batches, keys):
-            fp = table.column("fp").to_numpy().view(np.uint64)
+            fp, size, bucket = (table.column(c).to_numpy() for c in ("fp", "size", "bucket"))
             starts = group_starts(table, keys)
-            a, b = [], []
+            a, b, of = [], [], []
             for s, e in zip(starts, [*starts[1:], len(fp)], strict=True):
-                part = fp[s:e]
-                near = np.bitwise_count(part[:, None] ^ part[None, :]) <= radius
+                part = np.sort(fp[s:e])
+                bits = part.view(np.uint64)
+                near = np.bitwise_count(bits[:, None] ^ bits[None, :]) <= radius
                 root = label_components(near)
                 moved = np.flatnonzero(root != np.arange(len(part)))
                 a.append(part[moved])
                 b.append(part[root[moved]])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(x).view(np.int64), pa.int64()) for x in (a, b)], names=["a", "b"]
-            )
+                of += [int(bucket[s]) if size[s] > block else None] * len(moved)
+            edges = [pa.array(np.concatenate(x), pa.int64()) for x in (a, b)]
+            yield pa.RecordBatch.from_arrays([*edges, pa.array(of, pa.int64())], names=["a", "b", "bucket"])
 
     return run
 
@@ -113,7 +114,9 @@ def near_edges(prints: DataFrame, radius: int, work: Workspace, tag: str = "cove
 
     prints: distinct values in column fp, and a column seed if there are fingerprints of several kinds, which are only
     compared with their own kind. A bucket of two is compared as it is summed up, without its rows being
-    brought together; of larger ones the rows are fetched, in tiles if a bucket is very large.
+    brought together; of larger ones the rows are fetched, in tiles if a bucket is very large. b is the least fingerprint
+    of a's component in a bucket; where a bucket has several tiles, in one of them, and the column bucket, else null, tells
+    which it is.
     """
     kind = [F.col("seed")] if "seed" in prints.columns else []
     cells = F.array(*[F.xxhash64(F.lit(i), *kind, F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(covering_masks(radius))])
@@ -124,15 +127,35 @@ def near_edges(prints: DataFrame, radius: int, work: Workspace, tag: str = "cove
         .where("n > 1")
     )
     buckets = work.write(buckets, f"{tag}-buckets")
-    twos = buckets.where("n = 2").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius).select("a", "b")
+    twos = buckets.where("n = 2").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
+    twos = twos.select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit(None).cast("long").alias("bucket"))
     large = buckets.where("n > 2").select("bucket", "n", F.col("n").alias("size"))
     more = deal_tiles(fetch(dealt, large, ["bucket"], work, tag), "bucket", "size", "fp", BLOCK)
     keys = ["bucket", "tile_i", "tile_j"]
     met = (
-        more.select(*keys, "fp").repartition(*keys).sortWithinPartitions(*keys)
-        .mapInArrow(_bucket_stars(radius), "a long, b long")
+        more.select(*keys, "size", "fp").repartition(*keys).sortWithinPartitions(*keys)
+        .mapInArrow(_bucket_stars(radius, BLOCK), "a long, b long, bucket long")
     )
-    return work.write(twos.unionByName(met), tag)
+    return work.write(twos.unionByName(met), tag, F.count("bucket").alias("tiled"))
+
+
+def near_names(near: DataFrame, work: Workspace) -> DataFrame:
+    """(fp, names) of near_edges: fingerprints within the radius share a name, and each has one name a bucket at most.
+
+    The name is the least fingerprint of a component in a bucket, which in most buckets of a group is the same.
+    """
+    ends = lambda df, *more: df.select(F.explode(F.array(*[F.struct(F.col(c).alias("fp"), F.col("b").alias("name"), *more) for c in "ab"])).alias("e")).select("e.*")
+    names = ends(near.where("bucket is null"))
+    if near.marks["tiled"]:
+        # What the tiles of a bucket have linked is one component there; should two nodes be equal, it is larger.
+        tiled = near.where("bucket is not null")
+        node = lambda c: F.xxhash64("bucket", c)
+        found = connected_components(tiled.select(node("a").alias("a"), node("b").alias("b")), work, "tiled")
+        members = ends(tiled, F.col("bucket")).select("fp", node("fp").alias("node")).distinct().join(found, "node")
+        members = work.write(members.select("fp", "component"), "tiled-members")
+        least = work.write(members.groupBy("component").agg(F.min("fp").alias("name"), F.count(F.lit(1)).alias("n")), "tiled-names")
+        names = names.unionByName(join_heavy(members, least, ["component"]).select("fp", "name"))
+    return names.groupBy("fp").agg(F.collect_set("name").alias("names"))
 
 
 def group_prints(prints: DataFrame, radius: int, work: Workspace) -> DataFrame:
@@ -303,11 +326,8 @@ def shared_keys(classes: DataFrame, radius: int, work: Workspace) -> DataFrame:
     prints = classes.select("class", kinds).select("class", "k.seed", "k.fp")
     each = work.write(prints.groupBy("seed", "fp").agg(F.count(F.lit(1)).alias("n")), "each")
     near = near_edges(each.select("seed", "fp"), radius, work)
-    # All of a bucket that are linked have edges to one of them, which names their key; a print may have a few keys.
     # Should fingerprints of two seeds be equal, their classes share a key as well and are checked in vain.
-    ends = near.select(F.explode(F.array(F.struct("a", F.col("b").alias("fp")), F.struct("a", F.col("a").alias("fp")))).alias("e"))
-    names = ends.groupBy("e.fp").agg(F.collect_set("e.a").alias("names"))
-    met = each.join(names, "fp", "left").where("n > 1 or names is not null")
+    met = each.join(near_names(near, work), "fp", "left").where("n > 1 or names is not null")
     met = work.write(met.select("seed", "fp", "n", F.coalesce("names", F.array("fp")).alias("names")), "met")
     by_print = fetch(prints, met, ["seed", "fp"], work, "met").select("class", "seed", F.explode("names").alias("name"))
     held = by_print.select("class", F.xxhash64("seed", "name").alias("key")).distinct().unionByName(classes.select("class", F.explode("bands").alias("key")))

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -66,6 +67,25 @@ def test_dense_groups_are_dealt_in_tiles(spark, monkeypatch):
     assert {r["id"]: r["component"] for r in found.collect()} == root
 
 
+@pytest.mark.parametrize("block", [512, 16])
+def test_keys_of_a_large_group_grow_with_it_and_not_with_its_square(spark, monkeypatch, block):
+    monkeypatch.setattr(S, "BLOCK", block)
+    rng = random.Random(4)
+    signed = lambda p: p - (1 << 64) if p >> 63 else p
+    base = rng.getrandbits(64)
+    prints = [base] * 40 + [base ^ sum(1 << b for b in rng.sample(range(64), rng.choice([1, 2, 3]))) for _ in range(200)]
+    # Bands are each class's own; the second fingerprint is far from all others.
+    rows = [(i, [signed(p), signed(rng.getrandbits(64))], [-1 - i]) for i, p in enumerate(prints)]
+    classes = spark.createDataFrame(rows, "class long, prints array<long>, bands array<long>")
+    keys = {i: set() for i in range(len(rows))}
+    for r in S.shared_keys(classes, 4, S.Workspace(spark, "t")).collect():
+        keys[r["class"]].add(r["key"])
+    # As many as tables at most: 31 of the one kind of fingerprint that meets others.
+    assert max(map(len, keys.values())) <= len(S.covering_masks(4))
+    near = [(i, j) for i, p in enumerate(prints) for j, q in enumerate(prints[:i]) if (p ^ q).bit_count() <= 4]
+    assert len(near) > 10000 and all(keys[i] & keys[j] for i, j in near)
+
+
 def test_every_near_pair_meets_in_some_table():
     rng = random.Random(2)
     masks = S.covering_masks(4)
