@@ -106,10 +106,10 @@ class PageReader:
                 box = pages.flatten().field("box")
                 values = np.stack([box.field(f).to_numpy(zero_copy_only=False) for f in FIELDS], axis=1) if len(box) else np.zeros((0, 6), np.float32)
                 sizes = pages.value_lengths().to_numpy()
-                ends = np.cumsum(sizes)
+                starts = (np.cumsum(sizes) - sizes).tolist()
                 page, para, line, order, offsets = [], [], [], [], [0]
-                for k, (s, e) in enumerate(zip(ends - sizes, ends, strict=True)):
-                    for p, i, words in layout.reading_order(values[s:e]):
+                for k, (s, found) in enumerate(zip(starts, layout.reading_orders(values, sizes), strict=True)):
+                    for p, i, words in found:
                         page.append(k)
                         para.append(p)
                         line.append(i)
@@ -120,7 +120,7 @@ class PageReader:
                 yield pa.RecordBatch.from_arrays(columns, names=["image_id", "para_idx", "line_idx", "words"])
 
         # One row for each page, many pages in a batch: a call for each page would cost more than its layout.
-        pages = spread(words, "image_id").groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("word_idx", "box"))).alias("words"))
+        pages = spread(words, "image_id").groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("word_idx", "box"))).alias("words"))
         return pages.mapInArrow(run, f"image_id {self._key(words)}, para_idx int, line_idx int, words array<{BOX}>")
 
     def line_images(self, inputs: DataFrame, lines: DataFrame) -> DataFrame:
