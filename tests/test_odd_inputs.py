@@ -5,6 +5,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
+from foliary.functions import text as T
 from foliary.plans import queries as Q
 
 
@@ -26,3 +27,31 @@ def test_vectors_without_steps(spark, tmp_path, name):
     rows = pa.table({"vec_id": pa.array([1, 2, 3], pa.int64()), "embedding": pa.array([blank, [0.0] * 4 + [1.0] + [0.0] * 59, None], pa.list_(pa.float32()))})
     want = equal_to_sql(spark, tmp_path, name, embeddings=rows)
     assert [r[1:] for r in want[:2]] == [("?", 0), ("2", 1)]
+
+
+def documents(texts, ids=None):
+    return pa.table({"doc_id": pa.array(ids or range(len(texts)), pa.int64()), "text": pa.array(texts, pa.string())})
+
+
+TEXTS = ["", None, "\n\n", " ", "a  b \n\n c", "x\n  \n", "é ñandú\n\nz", "one", "\n \n \n last  word\n"]
+
+
+@pytest.mark.parametrize("name", ["q04_document_tree"])
+def test_documents_of_odd_texts(spark, tmp_path, monkeypatch, name):
+    monkeypatch.setattr(T, "TEXT_BYTES", 8)
+    want = equal_to_sql(spark, tmp_path, name, documents=documents([*TEXTS, "no id"], [*range(len(TEXTS)), None]))
+    assert len(want) == len(TEXTS) + 1
+
+
+def test_trees_of_an_id_that_repeats(spark, tmp_path):
+    want = equal_to_sql(spark, tmp_path, "q04_document_tree", documents=documents(["\nb c", "\n\nd", "e"], [1, 1, 2]))
+    assert [r[:4] for r in want] == [(1, 1, 2, 3), (1, 1, 2, 3), (2, 1, 1, 1)]
+
+
+def test_lines_of_a_document_are_not_shuffled(spark, tmp_path):
+    pq.write_table(documents(TEXTS), tmp_path / "documents.parquet")
+
+    def plan(name):
+        return Q.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+
+    assert "collect_list" not in plan("q04_document_tree")
