@@ -36,7 +36,7 @@ def documents(texts, ids=None):
 TEXTS = ["", None, "\n\n", " ", "a  b \n\n c", "x\n  \n", "é ñandú\n\nz", "one", "\n \n \n last  word\n"]
 
 
-@pytest.mark.parametrize("name", ["q04_document_tree"])
+@pytest.mark.parametrize("name", ["q04_document_tree", "q37_upright_json"])
 def test_documents_of_odd_texts(spark, tmp_path, monkeypatch, name):
     monkeypatch.setattr(T, "TEXT_BYTES", 8)
     want = equal_to_sql(spark, tmp_path, name, documents=documents([*TEXTS, "no id"], [*range(len(TEXTS)), None]))
@@ -54,4 +54,5 @@ def test_lines_of_a_document_are_not_shuffled(spark, tmp_path):
     def plan(name):
         return Q.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
 
+    assert "Exchange" not in plan("q37_upright_json")
     assert "collect_list" not in plan("q04_document_tree")
