@@ -5,6 +5,8 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
+from pyspark.sql import functions as F
+
 from foliary.functions import text as T
 from foliary.plans import queries as Q
 
@@ -56,3 +58,22 @@ def test_lines_of_a_document_are_not_shuffled(spark, tmp_path):
 
     assert "Exchange" not in plan("q37_upright_json")
     assert "collect_list" not in plan("q04_document_tree")
+
+
+@pytest.mark.parametrize("name", ["q02_char_boxes"])
+def test_lines_of_odd_texts(spark, tmp_path, monkeypatch, name):
+    monkeypatch.setattr(T, "CHARS_BYTES", 8)
+    equal_to_sql(spark, tmp_path, name, documents=documents([*TEXTS, "a😀é", "😀"]))
+
+
+def test_characters_as_columns_have_them(spark, monkeypatch):
+    monkeypatch.setattr(T, "CHARS_BYTES", 4)
+    lines = ["ab c", "", None, "é😀x", "z", None, ""]
+    chars = T.placed_chars(pa.array([x or "" for x in lines])[1:]).to_pylist()
+    df = spark.createDataFrame(list(enumerate(lines)), "i int, line string").coalesce(1)
+    rows = df.select("i", T.char_boxes(F.col("line")).alias("c"), T.char_extent("line").alias("x")).orderBy("i").collect()
+    assert [[c.asDict(True) for c in r["c"]] for r in rows[1:] if lines[r["i"]] is not None] == [c for c, x in zip(chars, lines[1:], strict=True) if x is not None]
+    for line, r in zip(lines, rows, strict=True):
+        left = [c["rect"]["left"] for c in r["c"]] if line else []
+        want = None if line is None else (len(line), line[:1] or None, line[-1:] or None, (0, 0, 25, 10 * len(line)) if line else None, sum(left))
+        assert (r["x"] and tuple(tuple(v) if isinstance(v, tuple) else v for v in r["x"])) == want
