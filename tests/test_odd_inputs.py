@@ -1,12 +1,14 @@
 """Queries against their SQL on small tables with rows that the given ones lack."""
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
 from pyspark.sql import functions as F
 
+from foliary.functions import geometry as G
 from foliary.functions import text as T
 from foliary.plans import queries as Q
 
@@ -60,7 +62,7 @@ def test_lines_of_a_document_are_not_shuffled(spark, tmp_path):
     assert "collect_list" not in plan("q04_document_tree")
 
 
-@pytest.mark.parametrize("name", ["q02_char_boxes"])
+@pytest.mark.parametrize("name", ["q02_char_boxes", "q36_rotated_rects"])
 def test_lines_of_odd_texts(spark, tmp_path, monkeypatch, name):
     monkeypatch.setattr(T, "CHARS_BYTES", 8)
     equal_to_sql(spark, tmp_path, name, documents=documents([*TEXTS, "a😀é", "😀"]))
@@ -77,3 +79,14 @@ def test_characters_as_columns_have_them(spark, monkeypatch):
         left = [c["rect"]["left"] for c in r["c"]] if line else []
         want = None if line is None else (len(line), line[:1] or None, line[-1:] or None, (0, 0, 25, 10 * len(line)) if line else None, sum(left))
         assert (r["x"] and tuple(tuple(v) if isinstance(v, tuple) else v for v in r["x"])) == want
+
+
+def test_upright_boxes_as_the_smallest():
+    rng = np.random.default_rng(2)
+    low = rng.uniform(-300, 300, (200, 2))
+    high = low + rng.uniform(0.01, 90, (200, 2))
+    ring = np.stack([high, np.stack([low[:, 0], high[:, 1]], 1), low, np.stack([high[:, 0], low[:, 1]], 1)], 1)
+    ring = np.concatenate([np.stack([r[rng.permutation(4)] for r in ring]), ring[:3] + [[[0, 1], [0, 0], [0, 0], [0, 0]]], ring[:2, [0, 0, 2, 2]], np.zeros((1, 4, 2))])
+    upright, boxes = G.upright_boxes(ring)
+    assert upright.tolist() == [True] * 200 + [False] * 6
+    assert np.array_equal(boxes, np.stack([G.smallest_box(r) for r in ring[:200]]))
