@@ -122,8 +122,11 @@ def corners_of(top: Column, left: Column, bottom: Column, right: Column) -> Colu
 
 
 def rounded_vertices(corners: Column) -> Column:
-    """[x, y] of each corner, halves away from zero."""
-    return F.transform(corners, lambda p: F.array(F.round(p["x"]).cast("int"), F.round(p["y"]).cast("int")))
+    """[x, y] of each of the four corners, halves away from zero.
+
+    Each corner is named, so that what takes only some of them is compiled to their numbers alone.
+    """
+    return F.array(*[F.array(*[F.round(F.get(corners, F.lit(i))[c]).cast("int") for c in ("x", "y")]) for i in range(4)])
 
 
 def flat_corners(corners: Column) -> Column:

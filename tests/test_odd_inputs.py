@@ -62,7 +62,7 @@ def test_lines_of_a_document_are_not_shuffled(spark, tmp_path):
     assert "collect_list" not in plan("q04_document_tree")
 
 
-@pytest.mark.parametrize("name", ["q02_char_boxes", "q36_rotated_rects"])
+@pytest.mark.parametrize("name", ["q02_char_boxes", "q25_vertices", "q36_rotated_rects"])
 def test_lines_of_odd_texts(spark, tmp_path, monkeypatch, name):
     monkeypatch.setattr(T, "CHARS_BYTES", 8)
     equal_to_sql(spark, tmp_path, name, documents=documents([*TEXTS, "a😀é", "😀"]))
@@ -90,3 +90,9 @@ def test_upright_boxes_as_the_smallest():
     upright, boxes = G.upright_boxes(ring)
     assert upright.tolist() == [True] * 200 + [False] * 6
     assert np.array_equal(boxes, np.stack([G.smallest_box(r) for r in ring[:200]]))
+
+
+def test_vertices_are_plain_numbers(spark, tmp_path):
+    pq.write_table(documents(TEXTS), tmp_path / "documents.parquet")
+    plan = Q.q25_vertices(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "flatten" not in plan and "lambda x_" not in plan.split("Generate")[0] and "array(" not in plan.split("Generate")[0]
